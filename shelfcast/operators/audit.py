@@ -121,7 +121,10 @@ def label_correlations(df: DataFrame, features: list[str], label: str = LABEL) -
         x = F.col(c).cast("double")
         y_pair, x_pair = F.when(x.isNotNull(), y), F.when(y.isNotNull(), x)
         varied = (F.min(x_pair) < F.max(x_pair)) & (F.min(y_pair) < F.max(y_pair))
-        parts.append(F.when(varied, F.corr(x_pair, y_pair)).alias(f"corr_{c}"))
+        # corr() itself divides by zero on a constant column, whatever the guard around it
+        spread = F.stddev_pop(x_pair) * F.stddev_pop(y_pair)
+        corr = F.covar_pop(x_pair, y_pair) / F.nullif(spread, F.lit(0.0))
+        parts.append(F.when(varied, corr).alias(f"corr_{c}"))
     wide = df.agg(*parts)
     return _long(wide, numeric, {"correlation": "corr"})
 

@@ -58,90 +58,104 @@ def staged_sales(sales: DataFrame) -> DataFrame:
     return sales.select(*SERIES_DAY, "units_sold", "revenue", "year", "month")
 
 
+# The window all demand features share, as SQL text: one expression string per column keeps plan
+# construction short.
+_BY_DAY = "over (partition by store_id, sku_id order by date)"
+_RUNNING = "over (partition by store_id, sku_id order by date rows between unbounded preceding and current row)"
+_TOTALS = ("_n", "_dev", "_sq", "_zero")
+
+
+def _lag_columns() -> list[str]:
+    return [f"lag(units_sold, {n}) {_BY_DAY} as lag_{n}_units" for n in LAGS]
+
+
 def add_lags(df: DataFrame) -> DataFrame:
     """Units sold n surviving rows earlier (row-based, not calendar-based)."""
-    w = _by_day()
-    return df.withColumns({f"lag_{n}_units": F.lag("units_sold", n).over(w) for n in LAGS})
+    return df.selectExpr("*", *_lag_columns())
 
 
 def _with_totals(df: DataFrame) -> DataFrame:
-    """Inclusive running count, sum, sum of squares and zero count per series.
+    """Running count, sum and sum of squares of the units less the series' first value, zero count.
 
     A moving frame is then the difference of two totals: constant work per row for any width,
-    where a sliding frame would be summed again for each row. Counts and sums of whole units are
-    exact, so the differences are too.
+    where a sliding frame would be summed again for each row. The shift by the first value keeps
+    the squares small, so that their totals stay exact (below 2^53) and differences lose nothing.
     """
-    running = _by_day().rowsBetween(Window.unboundedPreceding, 0)
-    units = F.col("units_sold")
-    square = (units.cast("decimal(19,0)") * units.cast("decimal(19,0)")).cast("decimal(38,0)")
-    return df.withColumns(
-        {
-            "_n": F.count(units).over(running),
-            "_sum": F.sum(units).over(running),
-            "_sq": F.sum(square).over(running),
-            "_zero": F.count(F.when(units == 0, 1)).over(running),
-        }
+    based = df.selectExpr("*", f"first_value(units_sold) {_RUNNING} as _base")
+    shifted = "cast(units_sold - _base as double)"
+    return based.selectExpr(
+        "*",
+        f"count(units_sold) {_RUNNING} as _n",
+        f"sum(units_sold - _base) {_RUNNING} as _dev",
+        f"sum({shifted} * {shifted}) {_RUNNING} as _sq",
+        f"count(case when units_sold = 0 then 1 end) {_RUNNING} as _zero",
     )
 
 
-def _frame(total: str, first: int, last: int) -> Column:
+def _frame(total: str, first: int, last: int) -> str:
     """Total over the rows `first` to `last` before the current one (first > last >= 1)."""
-    w = _by_day()
 
-    def before(k: int) -> Column:
-        return F.coalesce(F.lag(total, k).over(w), F.lit(0))
+    def before(k: int) -> str:
+        return f"coalesce(lag({total}, {k}) {_BY_DAY}, 0)"
 
-    return before(last) - before(first + 1)
+    return f"({before(last)} - {before(first + 1)})"
 
 
-def _drop_totals(df: DataFrame) -> DataFrame:
-    return df.drop("_n", "_sum", "_sq", "_zero")
+def _rolling_frames() -> list[str]:
+    return [f"{_frame(c, n, 1)} as {c}{n}" for n in ROLLING for c in _TOTALS]
 
 
-def _rolling_columns(n: int) -> dict[str, Column]:
-    count, total = _frame("_n", n, 1), _frame("_sum", n, 1)
-    # count * sum(x^2) - sum(x)^2 in decimals: no cancellation on near-constant series
-    wide = total.cast("decimal(19,0)")
-    spread = count.cast("decimal(10,0)") * _frame("_sq", n, 1) - (wide * wide).cast("decimal(38,0)")
-    pairs = count * (count - F.lit(1))
-    return {
-        f"rolling_mean_{n}": F.when(count > 0, total / count),
-        f"rolling_std_{n}": F.when(count > 1, F.sqrt(spread.cast("double") / pairs)),
-        f"rolling_zero_rate_{n}": F.when(count > 0, _frame("_zero", n, 1) / count),
-    }
+def _mean(n: int | str) -> str:
+    return f"(_dev{n} + _n{n} * _base) / _n{n}"
 
 
-def add_rolling(df: DataFrame) -> DataFrame:
-    """Mean, sample deviation and share of zeros over the n rows before the current one."""
-    columns: dict[str, Column] = {}
+def _rolling_columns() -> list[str]:
+    out = []
     for n in ROLLING:
-        columns.update(_rolling_columns(n))
-    return _drop_totals(_with_totals(df).withColumns(columns))
+        spread = f"greatest(_n{n} * _sq{n} - cast(_dev{n} as double) * _dev{n}, 0D)"
+        out += [
+            f"case when _n{n} > 0 then {_mean(n)} end as rolling_mean_{n}",
+            f"case when _n{n} > 1 then sqrt({spread} / (_n{n} * (_n{n} - 1))) end as rolling_std_{n}",
+            f"case when _n{n} > 0 then _zero{n} / _n{n} end as rolling_zero_rate_{n}",
+        ]
+    return out
 
 
-def _seasonal_columns() -> dict[str, Column]:
-    w = _by_day()
-    count, total = _frame("_n", 371, 365), _frame("_sum", 371, 365)
-    mean = F.when(count > 0, total / count)
-    return {
-        "same_day_last_year_units": F.lag("units_sold", 365).over(w),
-        "same_week_last_year_mean": mean,
-        "yoy_growth_ratio": F.when(mean != 0, F.lag("units_sold", 1).over(w) / mean),
-    }
+def _seasonal_frames() -> list[str]:
+    return [
+        f"lag(units_sold, 365) {_BY_DAY} as same_day_last_year_units",
+        f"lag(units_sold, 1) {_BY_DAY} as _yesterday",
+        f"{_frame('_n', 371, 365)} as _ny",
+        f"{_frame('_dev', 371, 365)} as _devy",
+    ]
+
+
+def _seasonal_columns() -> list[str]:
+    return [
+        "same_day_last_year_units",
+        f"case when _ny > 0 then {_mean('y')} end as same_week_last_year_mean",
+        f"case when _ny > 0 and {_mean('y')} <> 0 then _yesterday / ({_mean('y')}) end as yoy_growth_ratio",
+    ]
+
+
+def add_rolling(df: DataFrame) -> DataFrame:
+    """Mean, sample deviation and share of zeros over the n rows before the current one."""
+    framed = _with_totals(df).selectExpr(*df.columns, "_base", *_rolling_frames())
+    return framed.selectExpr(*df.columns, *_rolling_columns())
 
 
 def add_seasonal(df: DataFrame) -> DataFrame:
     """Prior-year anchors: the row 365 back and the mean of rows 371 to 365 back."""
-    return _drop_totals(_with_totals(df).withColumns(_seasonal_columns()))
+    framed = _with_totals(df).selectExpr(*df.columns, "_base", *_seasonal_frames())
+    return framed.selectExpr(*df.columns, *_seasonal_columns())
 
 
 def add_demand_history(df: DataFrame) -> DataFrame:
     """Lags, rolling statistics and seasonal anchors from one set of running totals."""
-    columns = {f"lag_{n}_units": F.lag("units_sold", n).over(_by_day()) for n in LAGS}
-    for n in ROLLING:
-        columns.update(_rolling_columns(n))
-    columns.update(_seasonal_columns())
-    return _drop_totals(_with_totals(df).withColumns(columns))
+    framed = _with_totals(df).selectExpr(
+        *df.columns, "_base", *_lag_columns(), *_rolling_frames(), *_seasonal_frames()
+    )
+    return framed.selectExpr(*df.columns, *LAG_COLUMNS, *_rolling_columns(), *_seasonal_columns())
 
 
 def price_versions(prices: DataFrame) -> DataFrame:
@@ -236,7 +250,8 @@ def features_master(sales: DataFrame, prices: DataFrame, calendar: DataFrame) ->
     The calendar is broadcast: it has one row per day (about 37,000 rows for a century).
     """
     panel = sales.select(*SERIES_DAY, "units_sold", "revenue")
-    wide = add_promo(add_prices(add_demand_history(panel), prices))
+    # prices and promotions first: their sorts then carry few columns
+    wide = add_demand_history(add_promo(add_prices(panel, prices)))
     days = calendar_features(calendar)
     return wide.join(F.broadcast(days), "date", "left").select(
         *SERIES_DAY,

@@ -33,10 +33,7 @@ def query(needs: str, body: str, double: str = "") -> str:
     parts = [f"{n} as ({CTE[n][1]})" for n in _ordered(needs.split())]
     prefix = "with recursive " + ", ".join(parts) + " " if parts else ""
     if double:
-        rounded = ", ".join(
-            f"case when round({c}, 6) = 0 then cast(0 as double) else round({c}, 6) end as {c}"
-            for c in double.split()
-        )
+        rounded = ", ".join(f"floor({c} * 1e6 + 4987e-4) / 1e6 as {c}" for c in double.split())
         body = f"select * replace ({rounded}) from ({body}) result_rows"
     return prefix + body
 

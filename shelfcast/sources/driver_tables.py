@@ -23,17 +23,13 @@ class DriverTables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-    def store_keys(self) -> DataFrame:
-        nation = self.table("nation").select("n_nationkey", "n_regionkey")
-        return (
-            self.table("supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select("s_suppkey", store_id(F.col("n_regionkey")).alias("store_id"))
-        )
+        """A driver table; its footer is read once per instance."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def lines(self) -> DataFrame:
         """Order lines with store, SKU and exact integer amounts."""
@@ -45,12 +41,17 @@ class DriverTables:
             "l_suppkey",
             F.to_date("l_shipdate").alias("d"),
             F.col("l_quantity").cast("long").alias("qty"),
-            F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
-            F.round(F.col("l_discount") * 100).cast("long").alias("disc_pct"),
+            _hundredths("l_extendedprice").alias("cents"),
+            _hundredths("l_discount").alias("disc_pct"),
         )
+        suppliers = self.table("supplier").select("s_suppkey", "s_nationkey")
+        nations = self.table("nation").select("n_nationkey", store_id(F.col("n_regionkey")).alias("store_id"))
+        # Each dimension joins the lines directly: file sizes are known when the plan is made, the
+        # size of a joined pair of dimensions is not, and would cost a shuffle of the lines.
         return (
             items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.store_keys(), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
             .select("l_orderkey", "l_linenumber", *SERIES, "d", "qty", "cents", "disc_pct")
         )
 
@@ -100,7 +101,7 @@ class DriverTables:
         )
 
     def products(self) -> DataFrame:
-        cents = F.round(F.col("p_retailprice") * 100).cast("long")
+        cents = _hundredths("p_retailprice")
         return (
             self.table("part")
             .withColumn("sku_id", sku_id(F.col("p_brand")))
@@ -173,6 +174,12 @@ class DriverTables:
         )
 
 
+def _hundredths(amount: str) -> Column:
+    """Non-negative amount in whole hundredths; floor stays in primitive code, round would build a
+    decimal per value."""
+    return F.floor(F.col(amount) * 100 + 0.5)
+
+
 def store_id(region_key: Column) -> Column:
     number = F.lpad((region_key + 1).cast("string"), 4, "0")
     return F.concat(F.lit("store_"), number)
