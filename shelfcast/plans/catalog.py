@@ -49,11 +49,18 @@ def _rounded(df: DataFrame) -> DataFrame:
     )
 
 
-def entry(name: str, needs: str = "", sql: str = "", double: str = "", text: str = ""):
-    """Register a query; `sql` is the body over the named CTEs, `text` a complete statement."""
+def entry(
+    name: str, needs: str = "", sql: str = "", double: str = "", text: str = "", settle: bool = False
+):
+    """Register a query; `sql` is the body over the named CTEs, `text` a complete statement.
+    `settle` queries read sales or prices several times and get them from one written aggregate."""
 
     def wrap(build: Callable[[DriverTables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: _rounded(build(DriverTables(spark, folder)))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            t = DriverTables(spark, folder)
+            return _rounded(build(t.settled() if settle else t))
+
+        QUERIES[name] = run
         if text:
             ORACLE[name] = text
         elif sql:
@@ -86,6 +93,11 @@ def preds(t: DriverTables) -> DataFrame:
     return scored(t).filter(F.col("model") == "moving_average").drop("model")
 
 
+def forecast_table(t: DriverTables) -> DataFrame:
+    """The forecasts as a written table, for readers that pass over them more than once."""
+    return freeze(preds(t))
+
+
 def dense(t: DriverTables) -> DataFrame:
     bounds = t.calendar().agg(F.min("date").alias("a"), F.max("date").alias("b"))
     spine = profile.panel_spine(
@@ -202,7 +214,7 @@ _counts = " union all ".join(
 )
 
 
-@entry("s07_ingest_all", " ".join(TABLES), _counts)
+@entry("s07_ingest_all", " ".join(TABLES), _counts, settle=True)
 def s07(t):
     zone = raw_zone(t)
     bronze = Bronze(zone.root, sibling(zone, "bronze"))
@@ -240,7 +252,7 @@ def s09(t):
     )
 
 
-@entry("s10_silver_build", " ".join(TABLES), _counts)
+@entry("s10_silver_build", " ".join(TABLES), _counts, settle=True)
 def s10(t):
     zone = raw_zone(t)
     bronze = Bronze(zone.root, sibling(zone, "bronze"))
@@ -296,6 +308,7 @@ def s13(t):
     "cast(sum(promo_streak_length) as bigint) as streaks, sum(rolling_mean_28) as mean_28 "
     "from history join priced using (store_id, sku_id, date) join promo using (store_id, sku_id, date)",
     "mean_28",
+    settle=True,
 )
 def s14(t):
     zone = raw_zone(t)
@@ -323,7 +336,7 @@ def s15(t):
     )
 
 
-@entry("s16_manifest", " ".join(TABLES), _counts)
+@entry("s16_manifest", " ".join(TABLES), _counts, settle=True)
 def s16(t):
     zone = raw_zone(t)
     manifest = raw.write_manifest(zone, TABLES, {"folder": t.folder, "api_key": "x"})
@@ -334,7 +347,7 @@ def s16(t):
     return rows.filter(F.col("s.byte_size") > 0).select("table_name", F.col("s.row_count").alias("rows"))
 
 
-@entry("s17_row_counts", " ".join(TABLES), _counts)
+@entry("s17_row_counts", " ".join(TABLES), _counts, settle=True)
 def s17(t):
     return raw.count_tables(raw_zone(t), TABLES)
 
@@ -359,6 +372,7 @@ def s18(t):
     "enriched",
     f"select store_id, category, {REPORT} from enriched group by store_id, category",
     REPORT_NAMES,
+    settle=True,
 )
 def s19(t):
     path = f"{scratch_folder(t.spark)}/segment_metrics_store_category"
@@ -368,14 +382,30 @@ def s19(t):
     return raw.read_csv(t.spark, path, f"store_id string, category string, n_rows long, {metrics}")
 
 
-@entry("s20_hash_sample")
+_sample_sql = (
+    "select least(1000, count(*)) as n, least(1000, count(*)) as distinct_keys, cast(0 as bigint) as not_in_table "
+    "from sales"
+)
+
+
+def _sample_check(sales: DataFrame, sample: DataFrame) -> DataFrame:
+    """Size, distinct keys and rows that do not occur in the table."""
+    unknown = sample.join(sales.select(*SERIES_DAY, "units_sold"), [*SERIES_DAY, "units_sold"], "left_anti")
+    return sample.agg(
+        F.count("*").alias("n"),
+        F.count_distinct(*SERIES_DAY).alias("distinct_keys"),
+        unknown.agg(F.count("*")).scalar().alias("not_in_table"),
+    )
+
+
+@entry("s20_hash_sample", "sales", _sample_sql, settle=True)
 def s20(t):
-    return raw.hash_sample(t.sales(), SERIES_DAY, 1000)
+    return _sample_check(t.sales(), raw.hash_sample(t.sales(), SERIES_DAY, 1000))
 
 
-@entry("s21_seeded_sample")
+@entry("s21_seeded_sample", "sales", _sample_sql, settle=True)
 def s21(t):
-    return raw.seeded_sample(t.sales(), SERIES_DAY, 1000)
+    return _sample_check(t.sales(), raw.seeded_sample(t.sales(), SERIES_DAY, 1000))
 
 
 # ---- Silver cleaning ----------------------------------------------------------------------------
@@ -489,6 +519,7 @@ select count(*) as rows_in, (select count(*) from clean_products) as rows_out,
     "clean_sales clean_products clean_prices cast_sales",
     f"select 'sales' as table_name, * from ({_sales_metrics}) a union all "
     f"select 'products', * from ({_product_metrics}) b union all select 'prices', * from ({_price_metrics}) c",
+    settle=True,
 )
 def c10(t):
     parts = {
@@ -564,6 +595,7 @@ def q04(t):
         ]
     )
     + ") checks",
+    settle=True,
 )
 def q05(t):
     return quality.suite(frames(t))
@@ -595,6 +627,7 @@ def g03(t):
     "priced",
     f"select {_keys}, price_week_start, current_price, is_on_promo from priced",
     "current_price",
+    settle=True,
 )
 def g04(t):
     values = {"price_week_start": "week_start", "current_price": "price", "is_on_promo": "is_promo"}
@@ -606,13 +639,14 @@ def g04(t):
     "priced",
     f"select {_keys}, price_4w_ago, price_ratio_4w, discount_depth from priced",
     "price_4w_ago price_ratio_4w discount_depth",
+    settle=True,
 )
 def g05(t):
     priced = gold.add_prices(t.sales().select(*SERIES_DAY), t.prices())
     return priced.select(*SERIES_DAY, "price_4w_ago", "price_ratio_4w", "discount_depth")
 
 
-@entry("g06_promo_islands", "promo", "select * from promo")
+@entry("g06_promo_islands", "promo", "select * from promo", settle=True)
 def g06(t):
     priced = gold.add_prices(t.sales().select(*SERIES_DAY), t.prices())
     return gold.add_promo(priced).select(*SERIES_DAY, *gold.PROMO_COLUMNS)
@@ -659,7 +693,7 @@ _master_doubles = (
 )
 
 
-@entry("g10_features_master", "history priced promo calendar_features", _master_sql, _master_doubles)
+@entry("g10_features_master", "history priced promo calendar_features", _master_sql, _master_doubles, settle=True)
 def g10(t):
     return master(t)
 
@@ -672,6 +706,7 @@ _audited = [*gold.LAG_COLUMNS, *gold.ROLLING_COLUMNS, "current_price", "price_we
     "sales",
     "select feature, true as passes, least(1000, (select count(*) from sales)) as sample_size_checked, "
     "cast(0 as bigint) as mismatches from (values " + ", ".join(f"('{n}')" for n in _audited) + ") f(feature)",
+    settle=True,
 )
 def g11(t):
     sales = t.sales()
@@ -700,23 +735,23 @@ def _predict_sql(column: str) -> str:
     )
 
 
-@entry("f02_predict_frame", "history", _predict_sql("rolling_mean_7"), "y_pred")
+@entry("f02_predict_frame", "history", _predict_sql("rolling_mean_7"), "y_pred", settle=True)
 def f02(t):
     fallback = t.sales().agg(F.avg("units_sold")).scalar()
     return forecast.predict(history(t), "moving_average", fallback, window=7)
 
 
-@entry("f03_naive", "history", _predict_sql("lag_1_units"), "y_pred")
+@entry("f03_naive", "history", _predict_sql("lag_1_units"), "y_pred", settle=True)
 def f03(t):
     return _predict(t, "naive")
 
 
-@entry("f04_seasonal_naive", "history", _predict_sql("lag_7_units"), "y_pred")
+@entry("f04_seasonal_naive", "history", _predict_sql("lag_7_units"), "y_pred", settle=True)
 def f04(t):
     return _predict(t, "seasonal_naive")
 
 
-@entry("f05_moving_average", "history", _predict_sql("rolling_mean_28"), "y_pred")
+@entry("f05_moving_average", "history", _predict_sql("rolling_mean_28"), "y_pred", settle=True)
 def f05(t):
     return _predict(t, "moving_average")
 
@@ -730,7 +765,7 @@ def _model_rows(t: DriverTables) -> DataFrame:
     )
 
 
-@entry("f06_boosted_trees")
+@entry("f06_boosted_trees", settle=True)
 def f06(t):
     rows = _model_rows(t)
     _, folds = experiments.fold_context(rows, 1, HORIZON, MIN_TRAIN)
@@ -761,15 +796,16 @@ for _i, _name in enumerate(errors.SCORES, start=1):
         "scored",
         f"select model, {_name} from (select model, {SCORES} from scored group by model)",
         _name,
+        settle=True,
     )(_one_score(_name))
 
 
-@entry("e06_all_scores", "preds", f"select {SCORES} from preds", SCORE_NAMES)
+@entry("e06_all_scores", "preds", f"select {SCORES} from preds", SCORE_NAMES, settle=True)
 def e06(t):
     return evaluate.score(preds(t))
 
 
-@entry("e07_segment_scores", "preds", f"select store_id, {SCORES} from preds group by store_id", SCORE_NAMES)
+@entry("e07_segment_scores", "preds", f"select store_id, {SCORES} from preds group by store_id", SCORE_NAMES, settle=True)
 def e07(t):
     return evaluate.segment_scores(preds(t), ["store_id"])
 
@@ -793,13 +829,14 @@ def e09(t):
     "sales folds",
     "select fold_id, case when date >= val_start then 'val' else 'train' end as side, "
     f"{_keys}, units_sold from sales join folds on date between train_start and val_end",
+    settle=True,
 )
 def e10(t):
     folds = evaluate.fold_list(evaluate.walk_forward_folds(t.sales(), N_FOLDS, HORIZON, MIN_TRAIN))
     return evaluate.label_folds(t.sales(), folds).select("fold_id", "side", *SERIES_DAY, "units_sold")
 
 
-@entry("e11_actuals_join", "preds", f"select {_keys}, y_true, y_pred from preds", "y_true y_pred")
+@entry("e11_actuals_join", "preds", f"select {_keys}, y_true, y_pred from preds", "y_true y_pred", settle=True)
 def e11(t):
     actuals = t.sales().withColumnRenamed("units_sold", "label_units_sold")
     return evaluate.with_actuals(actuals, preds(t))
@@ -811,6 +848,7 @@ def e11(t):
     f"select sku_id, sum(y_true) as total_actual, {SCORES} from preds group by sku_id "
     "order by total_actual desc, sku_id limit 5",
     "total_actual " + SCORE_NAMES,
+    settle=True,
 )
 def e12(t):
     return evaluate.top_segment_scores(preds(t), "sku_id")
@@ -824,7 +862,7 @@ def per_fold(t: DriverTables) -> DataFrame:
     return rows.agg(*errors.score_columns(), F.count("*").alias("n_val_rows"))
 
 
-@entry("e13_baseline_folds", "scored", _per_fold_sql, SCORE_NAMES)
+@entry("e13_baseline_folds", "scored", _per_fold_sql, SCORE_NAMES, settle=True)
 def e13(t):
     return per_fold(t)
 
@@ -832,12 +870,12 @@ def e13(t):
 _means = ", ".join(f"avg({s}) as {s}" for s in SCORE_NAMES.split())
 
 
-@entry("e13_baseline_comparison", "scored", f"select model, {_means} from ({_per_fold_sql}) p group by model", SCORE_NAMES)
+@entry("e13_baseline_comparison", "scored", f"select model, {_means} from ({_per_fold_sql}) p group by model", SCORE_NAMES, settle=True)
 def e13b(t):
     return evaluate.mean_over_folds(per_fold(t))
 
 
-@entry("e14_learned_folds")
+@entry("e14_learned_folds", settle=True)
 def e14(t):
     return experiments.run_learned(
         _model_rows(t), n_folds=2, horizon=HORIZON, min_train=MIN_TRAIN, max_iter=3, max_depth=3
@@ -851,12 +889,13 @@ def e14(t):
     f"cast(dense_rank() over (order by wape) as int) as rank "
     f"from (select model, {_means} from ({_per_fold_sql}) p group by model)",
     SCORE_NAMES + " delta_wape_vs_baseline",
+    settle=True,
 )
 def e15(t):
     return evaluate.compare_models(per_fold(t))
 
 
-@entry("e16_bootstrap")
+@entry("e16_bootstrap", settle=True)
 def e16(t):
     pair = scored(t).groupBy(*SERIES_DAY).agg(
         F.max("y_true").alias("y_true"),
@@ -882,6 +921,7 @@ def e16(t):
         )
     )
     + ") f(feature, is_categorical) where (select count(*) from sales) > 0",
+    settle=True,
 )
 def l01(t):
     columns, categorical = audit.feature_columns(master(t))
@@ -922,6 +962,7 @@ _null_rate = "(select avg(case when {0} is null then 1.0::double else 0.0::doubl
     )
     + ") r",
     "train_null_rate val_null_rate",
+    settle=True,
 )
 def l03(t):
     folds = evaluate.fold_list(evaluate.walk_forward_folds(t.sales(), N_FOLDS, HORIZON, MIN_TRAIN))
@@ -937,6 +978,7 @@ def l03(t):
     f"select store_id, sku_id, timestamp '1970-01-01' + to_days(cast(date // {DAY} as int)) as date, "
     "cast(is_on_promo as double) as is_on_promo from priced",
     "is_on_promo",
+    settle=True,
 )
 def l04(t):
     priced = gold.add_prices(t.sales().select(*SERIES_DAY), t.prices())
@@ -955,6 +997,7 @@ def l05(t):
         f"select segment, value, '{m}' as metric, {m} as score from logged" for m in errors.SCORES
     ),
     "score",
+    settle=True,
 )
 def l06(t):
     rows = preds(t).join(t.products().select("sku_id", "category"), "sku_id", "left")
@@ -970,7 +1013,7 @@ def a01(t):
     return segments.volume_tiers(t.sales())
 
 
-@entry("a02_intermittency", "classes", "select * from classes", "adi cv_squared")
+@entry("a02_intermittency", "classes", "select * from classes", "adi cv_squared", settle=True)
 def a02(t):
     return segments.intermittency_classes(dense(t))
 
@@ -985,12 +1028,12 @@ def a03(t):
     return t.sales().select(*SERIES_DAY, week_start("date").alias("week_start"))
 
 
-@entry("a04_promo_day", "promo_days", f"select {_keys}, week_start, is_promo_day from promo_days")
+@entry("a04_promo_day", "promo_days", f"select {_keys}, week_start, is_promo_day from promo_days", settle=True)
 def a04(t):
     return segments.with_promo_day(preds(t), t.prices()).select(*SERIES_DAY, "week_start", "is_promo_day")
 
 
-@entry("a05_segment_report", "preds", f"select store_id, sku_id, {REPORT} from preds group by store_id, sku_id", REPORT_NAMES)
+@entry("a05_segment_report", "preds", f"select store_id, sku_id, {REPORT} from preds group by store_id, sku_id", REPORT_NAMES, settle=True)
 def a05(t):
     return segments.segment_report(preds(t), SERIES)
 
@@ -1003,6 +1046,7 @@ def a05(t):
     f"select store_id, sku_id, {REPORT} from preds group by store_id, sku_id) r where abs(mean_actual) > 1e-9) f "
     "where abs(bias_ratio) > 0.10",
     REPORT_NAMES + " bias_ratio",
+    settle=True,
 )
 def a06(t):
     return segments.bias_flags(segments.segment_report(preds(t), SERIES))
@@ -1021,6 +1065,7 @@ _ranked = (
     f"select 'best' as side, * from (select * from ({_ranked}) order by wape, store_id, sku_id limit 20) union all "
     f"select 'worst', * from (select * from ({_ranked}) order by wape desc, store_id, sku_id limit 20)",
     "wape",
+    settle=True,
 )
 def a07(t):
     rows = preds(t).join(t.products().select("sku_id", "category"), "sku_id", "left")
@@ -1034,7 +1079,7 @@ _enriched_columns = (
 )
 
 
-@entry("a08_enriched", "enriched", f"select {_enriched_columns} from enriched", "y_true y_pred")
+@entry("a08_enriched", "enriched", f"select {_enriched_columns} from enriched", "y_true y_pred", settle=True)
 def a08(t):
     return enriched(t).select(*_enriched_columns.split(", "))
 
@@ -1054,6 +1099,7 @@ def _report_sql(name: str, by: list[str], tail: str = "") -> str:
         for n, by in segments.REPORT_SETS.items()
     ),
     REPORT_NAMES,
+    settle=True,
 )
 def a09(t):
     return segments.report_set(enriched(t))
@@ -1070,6 +1116,7 @@ def a09(t):
     )
     + " from preds left join products using (sku_id) left join stores using (store_id) group by category",
     "A B C",
+    settle=True,
 )
 def a10(t):
     rows = preds(t).join(t.products().select("sku_id", "category"), "sku_id", "left")
@@ -1086,6 +1133,7 @@ def a10(t):
     "preds",
     "select store_id, sku_id, coalesce(stddev_pop(y_true - y_pred), 0) as forecast_error_std from preds group by 1, 2",
     "forecast_error_std",
+    settle=True,
 )
 def i01(t):
     return replenish.error_std(preds(t))
@@ -1111,6 +1159,7 @@ _stats_sql = (
     "preds",
     f"select store_id, sku_id, 1.645::double * sd * sqrt(7.0::double) as safety_stock from ({_stats_sql}) s",
     "safety_stock",
+    settle=True,
 )
 def i03(t):
     return _demand_stats(t).select(*SERIES, stock.safety_stock(F.col("sd"), 1.645, 7).alias("safety_stock"))
@@ -1121,6 +1170,7 @@ def i03(t):
     "preds",
     f"select store_id, sku_id, mean * 7 + 1.645::double * sd * sqrt(7.0::double) as reorder_point from ({_stats_sql}) s",
     "reorder_point",
+    settle=True,
 )
 def i04(t):
     safety = stock.safety_stock(F.col("sd"), 1.645, 7)
@@ -1133,6 +1183,7 @@ def i04(t):
     "select store_id, sku_id, case when mean <= 0 then 0 else sqrt(2.0::double * (mean * 365) * 50 / (base_price * 0.25)) end "
     f"as eoq from ({_stats_sql}) s join economics using (store_id, sku_id)",
     "eoq",
+    settle=True,
 )
 def i05(t):
     priced = _demand_stats(t).join(replenish.economics(t.prices(), t.products()), SERIES)
@@ -1146,6 +1197,7 @@ def i05(t):
     "select store_id, sku_id, mean * 7 + 1.645::double * sd * sqrt(7.0::double) + 14 * mean as level "
     f"from ({_stats_sql}) s",
     "level",
+    settle=True,
 )
 def i06(t):
     point = stock.reorder_point(F.col("mean"), 7, stock.safety_stock(F.col("sd"), 1.645, 7))
@@ -1153,7 +1205,7 @@ def i06(t):
 
 
 def _positions(t: DriverTables) -> DataFrame:
-    return replenish.opening_positions(preds(t), t.sales(), t.prices(), t.products())
+    return replenish.opening_positions(forecast_table(t), t.sales(), t.prices(), t.products())
 
 
 @entry(
@@ -1161,13 +1213,14 @@ def _positions(t: DriverTables) -> DataFrame:
     "series",
     "select store_id, sku_id, mean_daily, error_std, initial_stock from series",
     "mean_daily error_std",
+    settle=True,
 )
 def i07(t):
-    signals = replenish.demand_signals(preds(t), t.sales())
+    signals = replenish.demand_signals(forecast_table(t), t.sales())
     return replenish.gather_series(signals).select(*SERIES, "mean_daily", "error_std", "initial_stock")
 
 
-@entry("i08_cost_rates", "series", "select store_id, sku_id, category, h_cost, s_cost from series", "h_cost s_cost")
+@entry("i08_cost_rates", "series", "select store_id, sku_id, category, h_cost, s_cost from series", "h_cost s_cost", settle=True)
 def i08(t):
     return _positions(t).select(*SERIES, "category", "h_cost", "s_cost")
 
@@ -1177,9 +1230,10 @@ def i08(t):
     "signals",
     f"select {_keys}, y_true, rolling_mean, seasonal_naive, ml from signals where in_horizon",
     "y_true rolling_mean seasonal_naive ml",
+    settle=True,
 )
 def i09(t):
-    rows = replenish.demand_signals(preds(t), t.sales()).filter("in_horizon")
+    rows = replenish.demand_signals(forecast_table(t), t.sales()).filter("in_horizon")
     return rows.select(*SERIES_DAY, "y_true", "rolling_mean", "seasonal_naive", "ml")
 
 
@@ -1197,6 +1251,7 @@ _point_sql = f"({_mean_sql}) * 7.0::double + z * error_std * sqrt(7.0::double)"
     f"when initial_stock >= {_point_sql} then 0 else "
     f"greatest(0, cast(ceil({_point_sql} + 14.0::double * ({_mean_sql}) - initial_stock) as bigint)) end as reorder_qty "
     f"from horizon join series using (store_id, sku_id) cross join (values {oracle.STANDARD}) p(policy, kind, z)",
+    settle=True,
 )
 def i10(t):
     cases = replenish.with_policies(_positions(t), replenish.STANDARD)
@@ -1213,17 +1268,17 @@ def i10(t):
 _trace = "received_qty, on_hand, on_order, served_units, stockout_units, reorder_qty"
 
 
-@entry("i11_replay_days", "sim", f"select store_id, sku_id, policy, cast(day as int) as day, {_trace} from sim where day >= 0")
+@entry("i11_replay_days", "sim", f"select store_id, sku_id, policy, cast(day as int) as day, {_trace} from sim where day >= 0", settle=True)
 def i11(t):
     cases = replenish.with_policies(_positions(t), replenish.STANDARD)
     return replenish.replay_days(cases).select(*SERIES, "policy", "day", *_trace.split(", "))
 
 
 def _kpis(t: DriverTables) -> DataFrame:
-    return replenish.backtest(preds(t), t.sales(), t.prices(), t.products())
+    return replenish.backtest(forecast_table(t), t.sales(), t.prices(), t.products())
 
 
-@entry("i12_series_kpis", "kpis", "select * from kpis", oracle.KPI_DOUBLES)
+@entry("i12_series_kpis", "kpis", "select * from kpis", oracle.KPI_DOUBLES, settle=True)
 def i12(t):
     return _kpis(t)
 
@@ -1241,6 +1296,7 @@ _summary_names = (
     "sum(stockout_units) as total_stockout_units, avg(avg_inventory) as mean_avg_inventory, "
     "count(sku_id) as sku_count from kpis group by policy",
     _summary_names,
+    settle=True,
 )
 def i13(t):
     return replenish.policy_summary(_kpis(t))
@@ -1251,6 +1307,7 @@ def i13(t):
     "kpis",
     "select store_id, sku_id, policy, total_cost, service_level, avg_inventory, num_stockout_events from kpis",
     "total_cost service_level avg_inventory",
+    settle=True,
 )
 def i14(t):
     return replenish.compare_policies(_kpis(t))
@@ -1261,10 +1318,11 @@ def i14(t):
     "level_kpis",
     "select substring(policy, 4) as service_level, sum(total_cost) as total_cost from level_kpis group by policy",
     "total_cost",
+    settle=True,
 )
 def i15(t):
     levels = replenish.sensitivity_policies(stock.SENSITIVITY_Z)
-    kpis = replenish.backtest(preds(t), t.sales(), t.prices(), t.products(), levels)
+    kpis = replenish.backtest(forecast_table(t), t.sales(), t.prices(), t.products(), levels)
     return replenish.service_sensitivity(kpis)
 
 
@@ -1274,19 +1332,26 @@ def i15(t):
     "select category, sum(case policy when 'ML_95' then total_cost when 'baseline_rolling_mean' then -total_cost end) "
     "as cost_delta from kpis where policy in ('ML_95', 'baseline_rolling_mean') group by category",
     "cost_delta",
+    settle=True,
 )
 def i16(t):
     return replenish.category_cost_delta(_kpis(t))
 
 
-def double_mean(day: int, mean: float, std: float, on_hand: int, on_order: int) -> int:
-    """Example of a user policy: keep ten days of the forecast on hand and on order."""
-    return int(10 * mean) - on_hand - on_order
+def refill(day: int, mean: float, std: float, on_hand: int, on_order: int) -> int:
+    """Example of a user policy: order 60 units when fewer than 40 are on hand or on order."""
+    return 60 if on_hand + on_order < 40 else 0
 
 
-@entry("i17_custom_policy")
+@entry(
+    "i17_custom_policy",
+    "refill_sim",
+    "select store_id, sku_id, policy, cast(day as int) as day, on_hand, stockout_units, reorder_qty "
+    "from refill_sim where day >= 0",
+    settle=True,
+)
 def i17(t):
-    return replenish.replay_custom(_positions(t), {"ten_days": double_mean})
+    return replenish.replay_custom(_positions(t), {"refill": refill}).drop("date")
 
 
 # ---- construction and profiles ------------------------------------------------------------------
@@ -1297,7 +1362,7 @@ def d01(t):
     return t.calendar()
 
 
-@entry("d02_panel_spine", "dense", "select store_id, sku_id, date, week_start, cast(units_sold as bigint) as units_sold from dense")
+@entry("d02_panel_spine", "dense", "select store_id, sku_id, date, week_start, cast(units_sold as bigint) as units_sold from dense", settle=True)
 def d02(t):
     return dense(t)
 
@@ -1311,6 +1376,7 @@ def d02(t):
     "left join prices p on p.store_id = s.store_id and p.sku_id = s.sku_id and p.week_start = s.week_start "
     "left join products on products.sku_id = s.sku_id",
     "price price_ratio",
+    settle=True,
 )
 def d03(t):
     panel = t.sales().select(*SERIES_DAY, "units_sold", week_start("date").alias("week_start"))
@@ -1326,6 +1392,7 @@ def d03(t):
     f"and p.week_start = s.date - ((s.date // {DAY} + 3) % 7) * {DAY} group by s.store_id, s.sku_id) m "
     "where promo_mean is not null and other_mean is not null",
     "promo_mean other_mean lift",
+    settle=True,
 )
 def d04(t):
     return profile.promo_lift(t.sales(), t.prices())
@@ -1337,6 +1404,7 @@ def d04(t):
     "select count(*) as n_skus, avg(case when zero_rate > 0.5 then 1.0::double else 0.0::double end) as intermittent_share "
     "from (select sku_id, avg(case when units_sold = 0 then 1.0::double else 0.0::double end) as zero_rate from dense group by sku_id)",
     "intermittent_share",
+    settle=True,
 )
 def d05(t):
     return profile.intermittent_share(dense(t))

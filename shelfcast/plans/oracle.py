@@ -92,8 +92,8 @@ cte(
     "products",
     "",
     """
-select 'sku_' || lpad(substring(p_brand, 7), 5, '0') as sku_id, min(p_type) as category,
-  max(p_type) as subcategory,
+select 'sku_' || lpad(substring(p_brand, 7), 5, '0') as sku_id, arg_min(p_type, p_partkey) as category,
+  arg_max(p_type, p_partkey) as subcategory,
   floor(avg(cast(round(p_retailprice * 100) as bigint))) / cast(100 as double) as base_price,
   min(p_size) < 2 as is_perishable, cast(min(p_size) as bigint) as pack_size
 from part group by 1""",
@@ -447,7 +447,13 @@ LEVELS = ", ".join(
 )
 
 
-def simulation(policies: str) -> str:
+STANDARD_ORDER = """
+case when kind <> 'ml' then greatest(0, cast(ceil(14.0::double * mean - position) as bigint))
+  when position >= point then 0
+  else greatest(0, cast(ceil(point + 14.0::double * mean - position) as bigint)) end"""
+
+
+def simulation(policies: str, order: str = STANDARD_ORDER, name: str = "sim") -> str:
     """Day recursion for all series and policies at once, lead time 7."""
     return f"""
 select store_id, sku_id, policy, kind, z, cast(-1 as bigint) as day, initial_stock as on_hand,
@@ -461,9 +467,7 @@ select store_id, sku_id, policy, kind, z, day, greatest(stock - demand, 0),
   least(stock, demand), greatest(demand - stock, 0), qty
 from (
   select *, on_hand + pipe[1] as stock, pipe[1] as received,
-    case when kind <> 'ml' then greatest(0, cast(ceil(14.0::double * mean - position) as bigint))
-      when position >= point then 0
-      else greatest(0, cast(ceil(point + 14.0::double * mean - position) as bigint)) end as qty
+    cast({order} as bigint) as qty
   from (
     select s.* exclude (day, received_qty, served_units, stockout_units, reorder_qty), h.day,
       greatest(0, cast(round_even(h.y_true, 0) as bigint)) as demand, on_hand + on_order as position,
@@ -471,7 +475,7 @@ from (
         else h.ml end as mean,
       (case kind when 'rolling_mean' then h.rolling_mean when 'seasonal_naive' then h.seasonal_naive
         else h.ml end) * 7.0::double + z * error_std * sqrt(7.0::double) as point
-    from sim s join horizon h on s.store_id = h.store_id and s.sku_id = h.sku_id and h.day = s.day + 1
+    from {name} s join horizon h on s.store_id = h.store_id and s.sku_id = h.sku_id and h.day = s.day + 1
     join series e on s.store_id = e.store_id and s.sku_id = e.sku_id))"""
 
 
@@ -493,7 +497,12 @@ KPI_DOUBLES = (
 )
 cte("sim", "series horizon", simulation(STANDARD))
 cte("kpis", "sim", KPIS)
-cte("level_sim", "series horizon", simulation(LEVELS).replace("from sim s", "from level_sim s"))
+cte("level_sim", "series horizon", simulation(LEVELS, name="level_sim"))
+cte(
+    "refill_sim",
+    "series horizon",
+    simulation("('refill', 'ml', 0.0::double)", "case when position < 40 then 60 else 0 end", "refill_sim"),
+)
 cte("level_kpis", "level_sim", KPIS.replace("from sim where", "from level_sim where"))
 cte(
     "held",

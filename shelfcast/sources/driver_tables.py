@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.dates import DAY_NS, as_ns
 from shelfcast.operators.profile import calendar as calendar_dimension
+from shelfcast.session import freeze
 from shelfcast.sources.schemas import SERIES
 
 
@@ -24,6 +25,7 @@ class DriverTables:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
+        self._daily: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         """A driver table; its footer is read once per instance."""
@@ -55,27 +57,43 @@ class DriverTables:
             .select("l_orderkey", "l_linenumber", *SERIES, "d", "qty", "cents", "disc_pct")
         )
 
+    def daily(self) -> DataFrame:
+        """Exact integer sums per (store, SKU, day): the one aggregate over order lines from which
+        both sales and prices follow."""
+        if self._daily is None:
+            self._daily = self.lines().groupBy(*SERIES, "d").agg(
+                F.sum("qty").alias("qty"),
+                F.sum("cents").alias("cents"),
+                F.sum(F.col("cents") * (F.lit(100) - F.col("disc_pct"))).alias("net"),
+                F.sum("disc_pct").alias("disc"),
+                F.count("*").alias("n"),
+            )
+        return self._daily
+
+    def settled(self) -> DriverTables:
+        """The same tables with the daily aggregate written to the checkpoint folder, for queries
+        that read sales or prices more than once: the order lines are then scanned once."""
+        other = DriverTables(self.spark, self.folder)
+        other._tables, other._daily = self._tables, freeze(self.daily())
+        return other
+
     def sales(self) -> DataFrame:
-        net = F.sum(F.col("cents") * (F.lit(100) - F.col("disc_pct")))
-        daily = self.lines().groupBy(*SERIES, "d").agg(
-            F.sum("qty").alias("units_sold"), (net.cast("double") / F.lit(10000.0)).alias("revenue")
-        )
-        return daily.select(
+        return self.daily().select(
             *SERIES,
             as_ns("d").alias("date"),
-            "units_sold",
-            "revenue",
+            F.col("qty").alias("units_sold"),
+            (F.col("net").cast("double") / F.lit(10000.0)).alias("revenue"),
             F.year("d").alias("year"),
             F.month("d").alias("month"),
         )
 
     def prices(self) -> DataFrame:
         monday = F.to_date(F.date_trunc("week", "d"))
-        weekly = self.lines().withColumn("w", monday).groupBy(*SERIES, "w").agg(
+        weekly = self.daily().groupBy(*SERIES, monday.alias("w")).agg(
             F.sum("cents").alias("cents"),
             F.sum("qty").alias("qty"),
-            F.sum("disc_pct").alias("disc"),
-            F.count("*").alias("n"),
+            F.sum("disc").alias("disc"),
+            F.sum("n").alias("n"),
         )
         unit_cents = F.floor(F.col("cents").cast("double") / F.col("qty").cast("double"))
         return weekly.select(
@@ -107,8 +125,8 @@ class DriverTables:
             .withColumn("sku_id", sku_id(F.col("p_brand")))
             .groupBy("sku_id")
             .agg(
-                F.min("p_type").alias("category"),
-                F.max("p_type").alias("subcategory"),
+                F.min_by("p_type", "p_partkey").alias("category"),
+                F.max_by("p_type", "p_partkey").alias("subcategory"),
                 (F.floor(F.avg(cents)) / F.lit(100.0)).alias("base_price"),
                 (F.min("p_size") < 2).alias("is_perishable"),
                 F.min("p_size").cast("long").alias("pack_size"),
