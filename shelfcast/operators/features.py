@@ -250,8 +250,8 @@ def features_master(sales: DataFrame, prices: DataFrame, calendar: DataFrame) ->
     The calendar is broadcast: it has one row per day (about 37,000 rows for a century).
     """
     panel = sales.select(*SERIES_DAY, "units_sold", "revenue")
-    # prices and promotions first: their sorts then carry few columns
-    wide = add_demand_history(add_promo(add_prices(panel, prices)))
+    # the as-of stream leaves every series in date order: the demand windows reuse that sort
+    wide = add_promo(add_demand_history(add_prices(panel, prices)))
     days = calendar_features(calendar)
     return wide.join(F.broadcast(days), "date", "left").select(
         *SERIES_DAY,

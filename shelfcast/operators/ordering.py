@@ -42,26 +42,31 @@ def global_running_totals(
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, key: list[str], probs: dict[str, float]) -> DataFrame:
-    """One row of linearly interpolated quantiles, plus `n_rows`, `min_value` and `max_value`.
+def ranked_values(df: DataFrame, value: str, key: list[str]) -> DataFrame:
+    """Key, value and 1-based `rank` of the non-null values in the global order (value, key)."""
+    present = df.filter(F.col(value).isNotNull()).select(*key, value)
+    order = [F.col(value).asc(), *[F.col(k).asc() for k in key]]
+    return global_running_totals(present, order, {"rank": F.lit(1)})
 
-    Ranks come from the sliced global order, so the values are never gathered into one
-    aggregation buffer as an exact percentile aggregate would do.
+
+def exact_quantiles(ranked: DataFrame, value: str, probs: dict[str, float]) -> dict[str, float | None]:
+    """Linearly interpolated quantiles of `ranked_values`, with min_value and max_value.
+
+    Only the two neighbours of each quantile are read off by rank; an exact percentile aggregate
+    would gather all distinct values in one buffer instead.
     """
-    present = df.filter(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
-    ranked = global_running_totals(
-        present, [F.col("_v").asc(), *[F.col(k).asc() for k in key]], {"_rank": F.lit(1)}
-    )
-    n = present.agg(F.count("*")).scalar()
-    wanted = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (n - F.lit(1))
-        low = F.max(F.when(F.col("_rank") == F.floor(pos) + 1, F.col("_v")))
-        high = F.max(F.when(F.col("_rank") == F.ceil(pos) + 1, F.col("_v")))
-        wanted.append((low + (high - low) * (F.max(pos) - F.floor(F.max(pos)))).alias(name))
-    return ranked.agg(
-        *wanted,
-        F.count("*").alias("n_rows"),
-        F.min("_v").alias("min_value"),
-        F.max("_v").alias("max_value"),
-    )
+    n = ranked.count()
+    at = {name: divmod(p * (n - 1), 1) for name, p in probs.items()}
+
+    def value_at(rank: float):
+        return F.max(F.when(F.col("rank") == F.lit(int(rank) + 1), F.col(value).cast("double")))
+
+    parts = [F.min(F.col(value)).alias("min_value"), F.max(F.col(value)).alias("max_value")]
+    for name, (whole, _) in at.items():
+        parts += [value_at(whole).alias(f"low_{name}"), value_at(min(whole + 1, n - 1)).alias(f"high_{name}")]
+    row = ranked.agg(*parts).first()
+    out = {"min_value": row["min_value"], "max_value": row["max_value"]}
+    for name, (_, part) in at.items():
+        low, high = row[f"low_{name}"], row[f"high_{name}"]
+        out[name] = None if low is None else low + (high - low) * part
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfcast.functions.dates import week_start
 from shelfcast.functions.errors import EPSILON, SCORES, bias_mean, mae, rmse, score_columns, smape, wape
 from shelfcast.operators.audit import LABEL
-from shelfcast.operators.ordering import exact_quantiles, global_running_totals
+from shelfcast.operators.ordering import exact_quantiles, global_running_totals, ranked_values
 from shelfcast.session import freeze
 from shelfcast.sources.schemas import SERIES
 
@@ -207,18 +207,17 @@ def train_volume_tiers(train: DataFrame, label: str = LABEL) -> DataFrame:
     """Series in three equal-count volume bands from training demand; medium for all if the bands
     collapse."""
     volume = train.groupBy(*SERIES).agg(F.sum(label).alias("volume"))
-    cuts = exact_quantiles(volume, "volume", SERIES, {"q1": 1 / 3, "q2": 2 / 3})
-    edge = {c: cuts.select(c).scalar() for c in ("min_value", "q1", "q2", "max_value")}
-    distinct = (
-        (edge["min_value"] < edge["q1"]) & (edge["q1"] < edge["q2"]) & (edge["q2"] < edge["max_value"])
-    )
+    ranked = ranked_values(volume, "volume", SERIES)
+    cuts = exact_quantiles(ranked, "volume", {"q1": 1 / 3, "q2": 2 / 3})
+    edges = [cuts[c] for c in ("min_value", "q1", "q2", "max_value")]
+    if None in edges or sorted(set(edges)) != edges:
+        return ranked.select(*SERIES, F.lit("medium").alias("volume_tier"))
     band = (
-        F.when(~distinct, "medium")
-        .when(F.col("volume") <= edge["q1"], "low")
-        .when(F.col("volume") <= edge["q2"], "medium")
+        F.when(F.col("volume") <= cuts["q1"], "low")
+        .when(F.col("volume") <= cuts["q2"], "medium")
         .otherwise("high")
     )
-    return volume.select(*SERIES, band.alias("volume_tier"))
+    return ranked.select(*SERIES, band.alias("volume_tier"))
 
 
 # How many segments of each kind the log keeps (None: all).

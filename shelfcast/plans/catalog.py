@@ -99,10 +99,9 @@ def forecast_table(t: DriverTables) -> DataFrame:
 
 
 def dense(t: DriverTables) -> DataFrame:
-    bounds = t.calendar().agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    spine = profile.panel_spine(
-        t.prices(), bounds.select("a").scalar(), bounds.select("b").scalar()
-    )
+    edges = F.struct(F.min("date").alias("first"), F.max("date").alias("last"))
+    span = t.sales().agg(edges).scalar()
+    spine = profile.panel_spine(t.prices(), span["first"], span["last"])
     return profile.dense_sales(spine, t.sales())
 
 

@@ -2,7 +2,7 @@ import numpy as np
 from helpers import rows
 from pyspark.sql import functions as F
 
-from shelfcast.operators.ordering import exact_quantiles, global_running_totals
+from shelfcast.operators.ordering import exact_quantiles, global_running_totals, ranked_values
 
 
 def test_running_totals_cross_slices_and_ties(spark):
@@ -21,7 +21,14 @@ def test_running_totals_cross_slices_and_ties(spark):
 def test_quantiles(spark):
     values = [(i, float((i * 37) % 101)) for i in range(250)]
     df = spark.createDataFrame(values, "k long, v double")
-    row = exact_quantiles(df, "v", ["k"], {"q1": 1 / 3, "q2": 2 / 3, "top": 1.0}).first()
+    ranked = ranked_values(df, "v", ["k"])
+    assert sorted(r[2] for r in rows(ranked)) == list(range(1, 251))
+    cuts = exact_quantiles(ranked, "v", {"q1": 1 / 3, "q2": 2 / 3, "top": 1.0})
     want = np.quantile([v for _, v in values], [1 / 3, 2 / 3, 1.0])
-    assert np.allclose([row.q1, row.q2, row.top], want)
-    assert row.n_rows == 250 and row.min_value == 0.0 and row.max_value == 100.0
+    assert np.allclose([cuts["q1"], cuts["q2"], cuts["top"]], want)
+    assert cuts["min_value"] == 0.0 and cuts["max_value"] == 100.0
+
+
+def test_quantiles_of_nothing(spark):
+    ranked = ranked_values(spark.createDataFrame([], "k long, v double"), "v", ["k"])
+    assert exact_quantiles(ranked, "v", {"q": 0.5})["q"] is None
