@@ -14,6 +14,7 @@ def asof_backward(
     at: str,
     valid_from: str,
     values: dict[str, str],
+    repeated: bool = False,
 ) -> DataFrame:
     """Left as-of join: each fact row gets `values` of the latest version with valid_from <= at.
 
@@ -21,7 +22,15 @@ def asof_backward(
     before a fact of the same instant) and the last version is carried forward. The work is linear
     in facts + versions; a join on the inequality would pair every fact with all its earlier
     versions first.
+
+    The stream of one key is one window partition. Facts unique in (keys, at) bound it by the
+    instants on record; with `repeated` facts the stream holds each instant once and the facts
+    join it by equality, which AQE can split on a hot key.
     """
+    if repeated:
+        instants = facts.select(*keys, at).distinct()
+        found = asof_backward(instants, versions, keys, at, valid_from, values)
+        return facts.join(found, [*keys, at], "left").select(*facts.columns, *values)
     payload = F.struct(*[F.col(src).alias(dst) for dst, src in values.items()])
     left = facts.withColumn("_is_fact", F.lit(1))
     right = versions.select(

@@ -176,8 +176,10 @@ def fold_null_rates(
     )
 
 
-def require_no_fold_leakage(train: DataFrame, val: DataFrame, features: list[str]) -> None:
-    rows = fold_null_rates(train, val, features).filter("dates_overlap or suspicious").collect()
+def require_no_fold_leakage(
+    train: DataFrame, val: DataFrame, features: list[str], tolerance: float = 0.05
+) -> None:
+    rows = fold_null_rates(train, val, features, tolerance).filter("dates_overlap or suspicious").collect()
     if any(r["dates_overlap"] for r in rows):
         raise ValueError("train and validation dates overlap")
     if rows:

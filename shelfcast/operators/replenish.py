@@ -121,7 +121,11 @@ def demand_signals(preds: DataFrame, actuals: DataFrame, lead_time_days: int = 7
 
 def gather_series(signals: DataFrame, initial_stock_days: int = 14) -> DataFrame:
     """One row per series: mean daily demand, forecast-error deviation, opening stock and the
-    horizon as an array in date order."""
+    horizon as an array in date order.
+
+    Forecast tables hold one row per series and day, so an array is as long as the horizon has
+    days, however large or skewed the sales behind it are.
+    """
     inside = F.col("in_horizon")
     fields = ("date", "y_true", "y_pred", "rolling_mean", "seasonal_naive", "ml")
     mean = F.coalesce(

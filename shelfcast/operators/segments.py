@@ -140,8 +140,10 @@ def enrich(
     stores: DataFrame,
     sales: DataFrame,
     prices: DataFrame | None,
+    panel: DataFrame | None = None,
 ) -> DataFrame:
-    """Predictions with product, store, volume tier, demand class and promo flag.
+    """Predictions with product, store, volume tier, demand class and promo flag. Demand classes
+    come from `panel`, the sales with zero days filled in, where one is given.
 
     No join is forced to broadcast: dimension sizes are unknown here and Spark checks them itself.
     """
@@ -151,7 +153,7 @@ def enrich(
     if "store_type" not in out.columns:
         out = out.join(stores.select("store_id", "region", "state", "store_type"), "store_id", "left")
     out = out.join(volume_tiers(sales).select(*SERIES, "volume_tier"), SERIES, "left")
-    classes = intermittency_classes(sales).select(*SERIES, "intermittency_class")
+    classes = intermittency_classes(sales if panel is None else panel).select(*SERIES, "intermittency_class")
     out = out.join(classes, SERIES, "left")
     if prices is None:
         return out.withColumn("is_promo_day", F.lit(False))

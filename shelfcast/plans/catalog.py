@@ -106,12 +106,7 @@ def dense(t: DriverTables) -> DataFrame:
 
 
 def enriched(t: DriverTables) -> DataFrame:
-    tiers = segments.volume_tiers(t.sales()).select(*SERIES, "volume_tier")
-    kinds = segments.intermittency_classes(dense(t)).select(*SERIES, "intermittency_class")
-    out = preds(t).join(t.products().select("sku_id", "category", "subcategory"), "sku_id", "left")
-    out = out.join(t.stores().select("store_id", "region", "state", "store_type"), "store_id", "left")
-    out = out.join(tiers, SERIES, "left").join(kinds, SERIES, "left")
-    return segments.with_promo_day(out, t.prices())
+    return segments.enrich(preds(t), t.products(), t.stores(), t.sales(), t.prices(), dense(t))
 
 
 def frames(t: DriverTables) -> dict[str, DataFrame]:
@@ -198,6 +193,15 @@ def s04(t):
     return zone.read("sales").groupBy("year").agg(F.count("*").alias("n"))
 
 
+@entry("s05_external_table", "products", "select * from products", "base_price")
+def s05(t):
+    zone = raw_zone(t, ("products",))
+    t.spark.sql("create schema if not exists shelfcast_check")
+    t.spark.sql("drop table if exists shelfcast_check.products")
+    zone.register("shelfcast_check", "products")
+    return t.spark.table("shelfcast_check.products")
+
+
 @entry("s06_load_statistics", "prices", "select count(*) as rows_written from prices")
 def s06(t):
     zone = raw_zone(t, ("prices",))
@@ -876,8 +880,15 @@ def e13b(t):
 
 @entry("e14_learned_folds", settle=True)
 def e14(t):
+    # promotions of the sparse driver data come and go, and with them nulls of the promo distances
     return experiments.run_learned(
-        _model_rows(t), n_folds=2, horizon=HORIZON, min_train=MIN_TRAIN, max_iter=3, max_depth=3
+        _model_rows(t),
+        n_folds=2,
+        horizon=HORIZON,
+        min_train=MIN_TRAIN,
+        null_tolerance=0.5,
+        max_iter=2,
+        max_depth=3,
     )[0]
 
 

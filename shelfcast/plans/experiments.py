@@ -37,6 +37,7 @@ def run_learned(
     n_folds: int = 3,
     horizon: int = 14,
     min_train: int = 180,
+    null_tolerance: float = 0.05,
     **params,
 ) -> tuple[DataFrame, DataFrame]:
     """Boosted trees per fold behind the leakage guards: scores per fold with the gain on the
@@ -51,7 +52,7 @@ def run_learned(
     for fold in folds:
         train = evaluate.between_days(features, fold.train_start, fold.train_end)
         val = evaluate.between_days(features, fold.val_start, fold.val_end)
-        audit.require_no_fold_leakage(train, val, columns)
+        audit.require_no_fold_leakage(train, val, columns, null_tolerance)
         model = forecast.fit_boosted_trees(train, val, columns, categorical, **params)
         keep = [c for c in ("category", "store_type") if c in features.columns]
         scored = forecast.predict_learned(model, val, columns, categorical).select(

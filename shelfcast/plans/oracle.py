@@ -224,53 +224,50 @@ cte(
     "priced",
     "sales prices",
     f"""
-select c.*, p4.price as price_4w_ago, current_price / nullif(p4.price, 0) as price_ratio_4w,
-  case when p4.price is null or p4.price = 0 then null
-    else greatest(0, (p4.price - current_price) / p4.price) end as discount_depth
+select c.*, p4.price as price_4w_ago,
+  case when p4.price <> 0 then current_price / p4.price end as price_ratio_4w,
+  case when p4.price <> 0 then greatest(1 - current_price / p4.price, 0) end as discount_depth
 from (
   select s.store_id, s.sku_id, s.date, p.week_start as price_week_start, p.price as current_price,
-    p.is_promo as is_on_promo,
-    row_number() over (partition by s.store_id, s.sku_id, s.date order by p.week_start desc) as rn
-  from sales s left join prices p on s.store_id = p.store_id and s.sku_id = p.sku_id
-    and p.week_start <= s.date) c
+    p.is_promo as is_on_promo
+  from sales s asof left join prices p on s.store_id = p.store_id and s.sku_id = p.sku_id
+    and s.date >= p.week_start) c
 left join prices p4 on c.store_id = p4.store_id and c.sku_id = p4.sku_id
-  and p4.week_start = c.price_week_start - {28 * DAY}
-where c.rn = 1""",
+  and c.price_week_start - p4.week_start = {28 * DAY}""",
 )
 cte(
     "promo",
     "priced",
     f"""
 select store_id, sku_id, date,
-  case when is_on_promo then cast((date - b0) // {DAY} as int) end as days_since_promo_start,
-  case when is_on_promo then cast((b1 - date) // {DAY} as int) end as days_until_promo_end,
-  case when is_on_promo then cast((date - b0) // {DAY} as int) + 1 else 0 end as promo_streak_length
+  case when promoted then (date - min(date) over run) // {DAY} end as days_since_promo_start,
+  case when promoted then (max(date) over run - date) // {DAY} end as days_until_promo_end,
+  case when promoted then (date - min(date) over run) // {DAY} + 1 else 0 end as promo_streak_length
 from (
-  select *, min(case when is_on_promo then date end) over b as b0,
-    max(case when is_on_promo then date end) over b as b1
-  from (
-    select *, sum(st) over (partition by store_id, sku_id order by date
-      rows between unbounded preceding and current row) as block
-    from (
-      select *, case when is_on_promo and not coalesce(lag(is_on_promo) over (
-        partition by store_id, sku_id order by date), false) then 1 else 0 end as st
-      from priced))
-  window b as (partition by store_id, sku_id, block))""",
+  select *, row_number() over (partition by store_id, sku_id order by date)
+    - row_number() over (partition by store_id, sku_id, promoted order by date) as island
+  from (select store_id, sku_id, date, coalesce(is_on_promo, false) as promoted from priced))
+window run as (partition by store_id, sku_id, promoted, island)""",
+)
+_turns = ", ".join(
+    f"{fn}(2 * pi() * {value} / {period}) as {name}_{fn}"
+    for name, value, period in (
+        ("dow", "dow", "7.0::double"),
+        ("month", "month", "12.0::double"),
+        ("day_of_year", "doy", "365.0::double"),
+    )
+    for fn in ("sin", "cos")
 )
 cte(
     "calendar_features",
     "calendar",
     f"""
-select c.date, c.dow, c.week, c.month, c.quarter, c.year, c.is_weekend, c.is_us_holiday,
-  sin(2.0 * pi() * c.dow / 7.0) as dow_sin, cos(2.0 * pi() * c.dow / 7.0) as dow_cos,
-  sin(2.0 * pi() * c.month / 12.0) as month_sin, cos(2.0 * pi() * c.month / 12.0) as month_cos,
-  sin(2.0 * pi() * dayofyear(date '1970-01-01' + cast(c.date // {DAY} as int)) / 365.0) as day_of_year_sin,
-  cos(2.0 * pi() * dayofyear(date '1970-01-01' + cast(c.date // {DAY} as int)) / 365.0) as day_of_year_cos,
-  cast((c.date - max(h.date) filter (where h.date <= c.date)) // {DAY} as int) as days_since_last_holiday,
-  cast((min(h.date) filter (where h.date >= c.date) - c.date) // {DAY} as int) as days_to_next_holiday
-from calendar c left join (select date from calendar where is_us_holiday) h
-  on h.date between c.date - {370 * DAY} and c.date + {370 * DAY}
-group by c.date, c.dow, c.week, c.month, c.quarter, c.year, c.is_weekend, c.is_us_holiday""",
+select date, dow, week, month, quarter, year, is_weekend, is_us_holiday, {_turns},
+  (date - (select max(h.date) from calendar h where h.is_us_holiday
+    and h.date between c.date - {370 * DAY} and c.date)) // {DAY} as days_since_last_holiday,
+  ((select min(h.date) from calendar h where h.is_us_holiday
+    and h.date between c.date and c.date + {370 * DAY}) - date) // {DAY} as days_to_next_holiday
+from (select *, dayofyear(date '1970-01-01' + cast(date // {DAY} as int)) as doy from calendar) c""",
 )
 cte(
     "fold_days",

@@ -95,6 +95,14 @@ def test_asof_equals_inequality_join(driver):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_asof_of_repeated_facts(spark):
+    facts = spark.createDataFrame([("k", 5, i) for i in range(50)] + [("k", 1, 99), ("n", 5, 98)], "key string, at long, id long")
+    versions = spark.createDataFrame([("k", 2, 1.0), ("k", 5, None), ("k", 6, 3.0)], "key string, since long, p double")
+    got = gold.asof_backward(facts, versions, ["key"], "at", "since", {"w": "since", "p": "p"}, repeated=True)
+    want = [("k", 5, i, 5, None) for i in range(50)] + [("k", 1, 99, None, None), ("n", 5, 98, None, None)]
+    assert sorted(rows(got), key=lambda r: r[2]) == sorted(want, key=lambda r: r[2])
+
+
 def test_holiday_window_equals_range_join(driver):
     days = driver.calendar()
     hol = days.filter("is_us_holiday").select(F.col("date").alias("h"))
