@@ -29,21 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import batch, binary, pieces, raw_text
-from shelfcast.llm.tokens import ID, SIGNS, WordChunks
+from shelfcast.llm.tokens import ID, WordChunks, byte_letters
 
 #: Symbols are bytes; the last byte of a word counts from here.
 LAST = 256
 ARC_ENTRIES = 1_000_000
 
 
-def byte_letters() -> list[str]:
-    """The letter of each byte in byte-level vocabularies: printable ones stand for themselves, the
-    others follow from 256 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    other = iter(range(256, 512))
-    return [chr(b) if b in set(plain) else chr(next(other)) for b in range(256)]
-
-
 class Automaton:
     """Built by successive gadgets from the base symbols and the merges in order."""
 
@@ -98,7 +90,7 @@ class AutomatonEncoder(WordChunks):
     """Encodes and decodes as the tokenizers library does with a file of lower-cased words."""
 
     def __init__(self, path: str):
-        super().__init__(self._chunk_ids, folds_case=True)
+        super().__init__(self._chunk_ids, self.word_ids, folds_case=True)
         import regex
 
         with open(path, encoding="utf-8") as f:

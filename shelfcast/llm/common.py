@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,10 +94,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20)
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = np.fromiter(
-            (len(x) if x is not None else 0 for x in binary(b.column(column))), np.int64, b.num_rows
-        )
-        at = np.cumsum(sizes) // limit
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = np.cumsum(sizes, dtype=np.int64) // limit
         edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield b.slice(lo, hi - lo)

@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 
 ID = np.dtype("<u4")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 #: ASCII signs that end a run of letters in both tokenizers and need no look at their neighbours.
 SIGNS = ".,;:!?#$%&*|"
 #: White space, widely taken, before a space: the space then is no cutting point.
@@ -31,34 +32,50 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: printable ones stand for themselves, the
+    others follow from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in set(plain) else chr(next(other)) for b in range(256)]
+
+
 class Chunks(dict):
-    """Ids of chunks, as little-endian unsigned 32-bit bytes."""
+    """Ids of chunks, as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, encode: Callable[[str], list[int]], folds_case: bool):
-        self.encode, self.folds_case = encode, folds_case
+    `encode` takes any text; `encode_word` takes one run of letters (with the space before it, if
+    any) that normalising leaves as it is.
+    """
 
-    def ids(self, chunk: bytes) -> bytes:
-        return np.array(self.encode(chunk.decode()), dtype=ID).tobytes()
+    def __init__(
+        self, encode: Callable[[str], list[int]], encode_word: Callable[[str], list[int]], folds_case: bool
+    ):
+        self.encode, self.encode_word, self.folds_case = encode, encode_word, folds_case
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        value = self._parts(chunk) if b"<" not in chunk else None
+        text = chunk.decode()
+        value = self._by_parts(chunk, text)
         if value is None:
-            value = self.ids(chunk)
+            value = np.array(self.encode(text), dtype=ID).tobytes()
         self[chunk] = value
         return value
 
-    def _parts(self, chunk: bytes) -> bytes | None:
-        """Letters and the signs after them are separate words in either tokenizer."""
-        text = chunk.decode()
+    def _by_parts(self, chunk: bytes, text: str) -> bytes | None:
+        """A run of letters and the signs after it are separate words in either tokenizer."""
         core = text.rstrip(SIGNS)
+        if not core.removeprefix(" ").isalpha():
+            return None
         if len(core) < len(text):
-            if core.removeprefix(" ").isalpha():
-                return self[core.encode()] + self[text[len(core) :].encode()]
-        elif self.folds_case and chunk.isascii() and (low := chunk.lower()) != chunk:
-            return self[low]
-        return None
+            return self[core.encode()] + self[text[len(core) :].encode()]
+        if self.folds_case:
+            low = chunk.lower().decode() if chunk.isascii() else "".join(c.lower() for c in text)
+            if not (low.isascii() or unicodedata.is_normalized("NFC", text) and low.isalpha() and unicodedata.is_normalized("NFC", low)):
+                return None
+            if low != text:
+                return self[low.encode()]
+        return np.array(self.encode_word(text), dtype=ID).tobytes()
 
 
 class WordChunks(Chunks):
@@ -108,9 +125,16 @@ _ENCODERS: dict[str, Chunks] = {}
 def library_encoder(path: str) -> Chunks:
     """The worker's encoder of a tokenizer file of one of the two kinds above."""
     if path not in _ENCODERS:
-        encode = load_library(path).encode
+        library = load_library(path)
+        tokenize, letters = library.model.tokenize, byte_letters()
         kind = WordChunks if drops_space(path) else SpaceChunks
-        _ENCODERS[path] = kind(
-            lambda s: encode(s, add_special_tokens=False).ids, kind is WordChunks
-        )
+
+        def encode(text: str) -> list[int]:
+            return library.encode(text, add_special_tokens=False).ids
+
+        def encode_word(word: str) -> list[int]:  # the library's merges alone
+            plain = word if word.isascii() and word[:1] != " " else "".join([letters[b] for b in word.encode()])
+            return [t.id for t in tokenize(plain)]
+
+        _ENCODERS[path] = kind(encode, encode_word, kind is WordChunks)
     return _ENCODERS[path]
