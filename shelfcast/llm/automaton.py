@@ -130,8 +130,11 @@ class AutomatonEncoder(WordChunks):
                 out.append(self.special[part])
                 continue
             text = unicodedata.normalize("NFC", part)
-            for word in self.words.findall("".join(c.lower() for c in text)):
-                out += self.word_ids(word)
+            text = "".join(c.lower() for c in text)
+            # letters newer than the library's tables are signs there
+            shape = text if text.isascii() else "".join("!" if unicodedata.category(c) == "Cn" else c for c in text)
+            for word in self.words.finditer(shape):
+                out += self.word_ids(text[word.start() : word.end()])
         return out
 
     def word_ids(self, word: str) -> list[int]:
