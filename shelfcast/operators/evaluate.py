@@ -79,10 +79,12 @@ def fold_list(folds: DataFrame) -> list[Fold]:
 
 
 def between_days(df: DataFrame, start: int, end: int) -> DataFrame:
-    """Inclusive date range; on tables partitioned by year it also prunes the year folders."""
+    """Inclusive date range. A known year outside the range prunes year folders; rows without a year
+    (dates that the calendar lacks) stay."""
     out = df.filter(F.col("date").between(start, end))
     if "year" in df.columns:
-        out = out.filter(F.col("year").between(F.year(as_date(F.lit(start))), F.year(as_date(F.lit(end)))))
+        years = F.col("year").between(F.year(as_date(F.lit(start))), F.year(as_date(F.lit(end))))
+        out = out.filter(years | F.col("year").isNull())
     return out
 
 

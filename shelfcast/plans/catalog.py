@@ -43,10 +43,9 @@ N_FOLDS, HORIZON, MIN_TRAIN = 3, 60, 365
 
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimal digits. The break lies off the midpoint: exact fractions such as k/128
-    sit on the midpoint, where summation order alone would decide between the two neighbours."""
-    return df.selectExpr(
-        *[f"floor({c} * 1e6D + 0.4987D) / 1e6D as {c}" if t == "double" else c for c, t in df.dtypes]
-    )
+    sit on the midpoint, where summation order alone would decide between the two neighbours.
+    Values beyond 9e12 (whose sixth digit a double barely holds), infinities and NaN stay."""
+    return df.selectExpr(*[f"{oracle.rounded(c)} as {c}" if t == "double" else c for c, t in df.dtypes])
 
 
 def entry(

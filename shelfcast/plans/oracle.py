@@ -29,12 +29,18 @@ def _ordered(names: list[str]) -> list[str]:
     return out
 
 
+def rounded(column: str) -> str:
+    """Six digits, in SQL that both engines read alike."""
+    whole = f"floor({column} * cast(1e6 as double) + cast(4987e-4 as double))"
+    return f"case when abs({column}) < cast(9e12 as double) then {whole} / cast(1e6 as double) else {column} end"
+
+
 def query(needs: str, body: str, double: str = "") -> str:
     parts = [f"{n} as ({CTE[n][1]})" for n in _ordered(needs.split())]
     prefix = "with recursive " + ", ".join(parts) + " " if parts else ""
     if double:
-        rounded = ", ".join(f"floor({c} * 1e6 + 4987e-4) / 1e6 as {c}" for c in double.split())
-        body = f"select * replace ({rounded}) from ({body}) result_rows"
+        columns = ", ".join(f"{rounded(c)} as {c}" for c in double.split())
+        body = f"select * replace ({columns}) from ({body}) result_rows"
     return prefix + body
 
 

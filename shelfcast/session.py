@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,8 +43,14 @@ def _shared_folder(spark: SparkSession) -> str | None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (local only where none is set)."""
-    root = _shared_folder(spark) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A fresh folder under the cluster's shared checkpoint folder. Only a local session, whose tasks
+    all run here, gets one below /tmp where none is set."""
+    root = _shared_folder(spark)
+    if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/shelfcast-{uuid.uuid4().hex}"
 
 
