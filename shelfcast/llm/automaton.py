@@ -221,5 +221,6 @@ def _run(docs: DataFrame, tokenizer: str, key: str, text: str, digest: bool) ->
                 else:
                     out.append((ids, text_again.decode()))
             yield batch(schema, b.column(0), *zip(*out))
+        coder.trim()
 
     return rows.mapInArrow(run, ddl)

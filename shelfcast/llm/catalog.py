@@ -91,10 +91,9 @@ from d left join f on d.h = f.h and d.n >= 100
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.learn(docs, table(spark, folder, "labels"))
-    found = docs.select("doc_id", quality.scorer(docs, model)("text").alias("score"))
-    return found.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
+    return quality.scores(docs, model).select(
+        F.col("key").alias("doc_id"),
+        held_out(F.col("key")).alias("held_out"),
         "score",
         (F.col("score") >= quality.ACCEPTED).cast("int").alias("predicted"),
     )

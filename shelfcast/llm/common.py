@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,3 +99,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20)
         edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield b.slice(lo, hi - lo)
+
+
+def kept_rows(docs: DataFrame, text: str, accept: Callable[[bytes | None], bool]) -> DataFrame:
+    """The rows whose text, as UTF-8 bytes or None, is accepted; all columns pass as they are."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, at):
+            yield b.filter(pa.array([accept(x) for x in binary(b.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

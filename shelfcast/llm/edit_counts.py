@@ -156,6 +156,7 @@ def counts_after_edits(docs: DataFrame, edits: Column, tokenizer: str, key: str
             columns = [pa.array(x, pa.int64()) for x in zip(*out)]
             names = ["key", "tokens_before", "tokens_after", "bytes_after", "reencoded_bytes"]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=names)
+        encoder.trim()
 
     return rows.mapInArrow(run, ddl)
 
@@ -199,5 +200,6 @@ def _stateful(rows: DataFrame, tokenizer: str, make) -> DataFrame:
             found = [_state(make(r, encoder)) for r in b.to_pylist()]
             columns = [pa.array(x, t) for x, t in zip(zip(*found), types)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["key", *names])
+        encoder.trim()
 
     return rows.mapInArrow(run, f"key {kind}, {STATE}")

@@ -21,17 +21,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfcast.llm.common import batch, held_out, saved
+from shelfcast.llm.common import batch, held_out, kept_rows, pieces, saved
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -49,46 +49,54 @@ class LanguageModel:
     def __init__(self, langs: list[str], counts: list[dict[str, np.ndarray]], totals: list[np.ndarray]):
         """counts[0] are the words', counts[n] those of n-grams of ORDERS[n - 1]."""
         self.langs = langs
-        self.tables = []
+        self.places: list[dict[str, int]] = []  # rows of `logs`
+        logs = [np.zeros((1, len(langs)), dtype=np.float32)]
         for found, total in zip(counts, totals):
             keys = list(found)
-            if not keys:
-                self.tables.append({})
-                continue
-            rows = np.array([found[k] for k in keys], dtype=float) + 0.5
-            logs = np.log(rows / (total + 0.5 * (len(keys) + 1)))
-            logs -= logs.mean(axis=1, keepdims=True)
-            self.tables.append(dict(zip(keys, logs.astype(np.float32))))
+            start = sum(map(len, logs))
+            self.places.append({k: start + i for i, k in enumerate(keys)})
+            if keys:
+                rows = np.log((np.array([found[k] for k in keys], dtype=float) + 0.5) / (total + 0.5 * (len(keys) + 1)))
+                logs.append((rows - rows.mean(axis=1, keepdims=True)).astype(np.float32))
+        self.logs = np.concatenate(logs)
         self.cache: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
-        return {"langs": self.langs, "tables": self.tables, "cache": {}}
+        return {**self.__dict__, "cache": {}}
 
     def vector(self, word: str) -> np.ndarray:
-        found = self.tables[0].get(word)
-        if found is not None:
-            return found
-        for table, order in zip(self.tables[1:], ORDERS):
-            known = [table[g] for g in grams(word, order) if g in table]
+        """Of a word that is not known: its longest n-grams of which any is."""
+        for places, order in zip(self.places[1:], ORDERS):
+            known = [places[g] for g in grams(word, order) if g in places]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
+                return self.logs[known].mean(axis=0)
+        return self.logs[0]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words_of(text) if text else []
         if not found or not self.langs:
             return UNKNOWN, 0.0
-        known, total = self.cache, np.zeros(len(self.langs))
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
+        known, unknown = self.places[0], self.cache
+        if len(unknown) > CACHE_ENTRIES:
+            unknown.clear()
         counts = Counter(found)
-        rows = []
-        for word in counts:
-            row = known.get(word)
+        places, weights, rows, row_weights = [], [], [], []
+        for word, n in counts.items():
+            place = known.get(word)
+            if place is not None:
+                places.append(place)
+                weights.append(n)
+                continue
+            row = unknown.get(word)
             if row is None:
-                row = known[word] = self.vector(word)
+                row = unknown[word] = self.vector(word)
             rows.append(row)
-        total = np.fromiter(counts.values(), float, len(counts)) @ np.array(rows, dtype=float)
+            row_weights.append(n)
+        total = np.zeros(len(self.langs))
+        if places:
+            total += np.array(weights, dtype=float) @ self.logs[places]
+        if rows:
+            total += np.array(row_weights, dtype=float) @ np.array(rows, dtype=float)
         share = np.exp(total - total.max())
         best = int(share.argmax())
         return self.langs[best], float(share[best] / share.sum())
@@ -113,7 +121,7 @@ def learn(
     schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):  # keeps the tallies of a task small
             by: dict[str, Counter] = {}
             for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(name, Counter()).update(words_of(body))
@@ -147,19 +155,29 @@ def learn(
     return LanguageModel(langs, counts, sums)
 
 
-def predictor(docs: DataFrame, model: LanguageModel):
-    """A column function text -> struct(lang, score); the model (bounded by `learn`) is broadcast."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", *keep: Column) -> DataFrame:
+    """The kept columns with lang_pred and score, one row for each row. The model, bounded by
+    `learn`, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*keep, F.col(text).alias("text"))
+    at = len(rows.columns) - 1
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    @F.pandas_udf("lang string, score double")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(x) for x in text], columns=["lang", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, at):
+            langs, scores = zip(*[shared.value.predict(x) for x in b.column(at).to_pylist()])
+            columns = [*b.columns[:at], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return predict
+    return rows.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", *keep: Column) -> DataFrame:
-    """The kept columns with lang_pred and score, one row for each row."""
-    found = docs.select(*keep, predictor(docs, model)(F.col(text)).alias("found"))
-    names = found.columns[:-1]
-    return found.select(*names, F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+def recognised(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows with a language whose share is `least` or more, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def accept(body: bytes | None) -> bool:
+        lang, score = shared.value.predict(body.decode() if body else None)
+        return lang != UNKNOWN and score >= least
+
+    return kept_rows(docs, text, accept)

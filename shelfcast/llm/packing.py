@@ -118,7 +118,8 @@ def token_pieces(
     end = np.array([end_id], dtype=ID).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer).text_ids
+        encoder = library_encoder(tokenizer)
+        encode = encoder.text_ids
         slot = TaskContext.get().partitionId() << 40
         for b in pieces(batches, 1):
             out = []
@@ -129,6 +130,7 @@ def token_pieces(
                     out.append((k, n, start, length, zlib.crc32(own), slot, *([own] if with_ids else [])))
                     slot += 1
             yield batch(schema, *zip(*out))
+        encoder.trim()
 
     return rows.mapInArrow(run, PIECES_DDL + ", ids binary" * with_ids)
 

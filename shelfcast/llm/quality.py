@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import batch, held_out, raw_text, saved
+from shelfcast.llm.common import batch, held_out, kept_rows, pieces, raw_text, saved
 
 SAMPLE_ROWS = 20_000
 COMPONENTS = 384
@@ -151,7 +151,7 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     schema = pa.schema([("y", pa.float64()), ("fit", pa.bool_()), ("stats", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2):
             yield batch(schema, b.column(0), b.column(1), [statistics(x) for x in b.column(2).to_pylist()])
 
     return saved(met.mapInArrow(run, "y double, fit boolean, stats array<double>"), "quality-sample")
@@ -208,14 +208,21 @@ def learn(
     return model
 
 
-def scorer(docs: DataFrame, model: QualityModel):
-    """A column function text -> score."""
+def scores(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(key).cast("long").alias("key"), raw_text(F.col(text)).alias("text"))
+    schema = pa.schema([("key", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            found = shared.value.score(np.stack([statistics(x) for x in b.column(1).to_pylist()]))
+            yield batch(schema, b.column(0), pa.array(found))
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        if not len(text):
-            return pd.Series([], dtype=float)
-        return pd.Series(shared.value.score(np.stack([statistics((x or "").encode()) for x in text])))
+    return rows.mapInArrow(run, "key long, score double")
 
-    return score
+
+def accepted(docs: DataFrame, model: QualityModel, least: float = ACCEPTED, text: str = "text") -> DataFrame:
+    """The rows that score `least` or more, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, text, lambda body: bool(shared.value.score(statistics(body or b"")[None])[0] >= least))

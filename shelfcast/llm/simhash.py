@@ -97,8 +97,15 @@ class Block:
                     )
                 )
             )
-        self.exact = by
-        self.within = [[np.concatenate(w[: k + 1]) for k in range(reach + 1)] for w in self.exact]
+        self.patterns = [np.concatenate(w) for w in by]  # lightest first
+        self.ends = [np.cumsum([0, *map(len, w)]).tolist() for w in by]
+
+    def exact(self, syndrome: int, weight: int) -> np.ndarray:
+        ends = self.ends[syndrome]
+        return self.patterns[syndrome][ends[weight] : ends[weight + 1]]
+
+    def within(self, syndrome: int, weight: int) -> np.ndarray:
+        return self.patterns[syndrome][: self.ends[syndrome][weight + 1]]
 
     def syndromes(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(values), dtype=np.int64)
@@ -113,7 +120,8 @@ class AnchorCode:
     def __init__(self, blocks: int, threshold: int):
         self.radius = sum(b[2] for b in BLOCKS[:blocks])
         self.reach = self.radius + threshold
-        self.blocks = [Block(*b, self.reach) for b in BLOCKS[:blocks]]
+        made = {b: Block(*b, self.reach) for b in set(BLOCKS[:blocks])}
+        self.blocks = [made[b] for b in BLOCKS[:blocks]]
 
     def parts(self, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         out, at = [], 0
@@ -126,7 +134,7 @@ class AnchorCode:
     def homes(self, fps: np.ndarray) -> np.ndarray:
         out, at = np.zeros(len(fps), dtype=np.int64), 0
         for b, (values, syndromes) in zip(self.blocks, self.parts(fps)):
-            nearest = np.array([w[b.radius][0] for w in b.within], dtype=np.int64)
+            nearest = np.array([w[0] for w in b.patterns], dtype=np.int64)
             out |= (values ^ nearest[syndromes]) << at
             at += b.length
         return out
@@ -141,11 +149,11 @@ class AnchorCode:
                 v, s, step = values[i], syndromes[i], []
                 for have, spent in found:
                     if k == len(self.blocks) - 1:
-                        tail = b.within[s][self.reach - spent]
+                        tail = b.within(s, self.reach - spent)
                         step.append(((have[:, None] | ((v ^ tail) << at)).ravel(), self.reach))
                         continue
                     for weight in range(self.reach - spent + 1):
-                        if len(e := b.exact[s][weight]):
+                        if len(e := b.exact(s, weight)):
                             step.append(((have[:, None] | ((v ^ e) << at)).ravel(), spent + weight))
                 found = step
                 at += b.length

@@ -12,11 +12,14 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 
 ID = np.dtype("<u4")
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
+#: Chunks that stay between tasks, those met first; an idle worker then holds little.
+KEPT_ENTRIES = 100_000
 #: ASCII signs that end a run of letters in both tokenizers and need no look at their neighbours.
 SIGNS = ".,;:!?#$%&*|"
 #: White space, widely taken, before a space: the space then is no cutting point.
@@ -62,6 +65,13 @@ class Chunks(dict):
         self[chunk] = value
         return value
 
+    def trim(self) -> None:
+        """At the end of a task."""
+        if len(self) > KEPT_ENTRIES:
+            kept = dict(islice(self.items(), KEPT_ENTRIES))
+            self.clear()
+            self.update(kept)
+
     def _by_parts(self, chunk: bytes, text: str) -> bytes | None:
         """A run of letters and the signs after it are separate words in either tokenizer."""
         core = text.rstrip(SIGNS)

@@ -181,8 +181,8 @@ def test_op8_whole_table(spark, folder):
 def test_quality_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(3, 1), (4, None), (6, 1), (None, 0)], "doc_id long, quality int")
     model = quality.learn(odd, labels)
-    scores = odd.select(quality.scorer(odd, model)("text").alias("s")).collect()
-    assert len(scores) == odd.count() and all(r.s == scores[0].s for r in scores)
+    scores = quality.scores(odd, model).collect()
+    assert len(scores) == odd.count() and all(r.score == scores[0].score for r in scores)
     assert quality.learn(odd, labels.limit(0)).constant == 0.5
     assert quality.statistics(b"").sum() == 0.0
 
