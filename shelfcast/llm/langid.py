@@ -59,44 +59,43 @@ class LanguageModel:
                 rows = np.log((np.array([found[k] for k in keys], dtype=float) + 0.5) / (total + 0.5 * (len(keys) + 1)))
                 logs.append((rows - rows.mean(axis=1, keepdims=True)).astype(np.float32))
         self.logs = np.concatenate(logs)
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "cache": {}}
 
-    def vector(self, word: str) -> np.ndarray:
-        """Of a word that is not known: its longest n-grams of which any is."""
+    def backed_off(self, word: str) -> tuple[int, ...]:
+        """Of a word that is not known: the rows of its longest n-grams of which any is."""
         for places, order in zip(self.places[1:], ORDERS):
-            known = [places[g] for g in grams(word, order) if g in places]
+            known = tuple(places[g] for g in grams(word, order) if g in places)
             if known:
-                return self.logs[known].mean(axis=0)
-        return self.logs[0]
+                return known
+        return (0,)
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """One weighted sum of rows: a known word weighs its count, the n-grams of an unknown word
+        share the word's."""
         found = words_of(text) if text else []
         if not found or not self.langs:
             return UNKNOWN, 0.0
-        known, unknown = self.places[0], self.cache
-        if len(unknown) > CACHE_ENTRIES:
-            unknown.clear()
+        cache = self.cache
+        if len(cache) > CACHE_ENTRIES:
+            cache.clear()
         counts = Counter(found)
-        places, weights, rows, row_weights = [], [], [], []
-        for word, n in counts.items():
-            place = known.get(word)
-            if place is not None:
-                places.append(place)
-                weights.append(n)
-                continue
-            row = unknown.get(word)
-            if row is None:
-                row = unknown[word] = self.vector(word)
-            rows.append(row)
-            row_weights.append(n)
-        total = np.zeros(len(self.langs))
-        if places:
-            total += np.array(weights, dtype=float) @ self.logs[places]
-        if rows:
-            total += np.array(row_weights, dtype=float) @ np.array(rows, dtype=float)
+        places = list(map(self.places[0].get, counts))
+        weights: list[float] = list(counts.values())
+        if None in places:
+            for i, word in enumerate(counts):
+                if places[i] is None:
+                    known = cache.get(word)
+                    if known is None:
+                        known = cache[word] = self.backed_off(word)
+                    places[i] = known[0]
+                    weights[i] = weight = weights[i] / len(known)
+                    if len(known) > 1:
+                        places += known[1:]
+                        weights += [weight] * (len(known) - 1)
+        total = np.array(weights, dtype=float) @ self.logs[places]
         share = np.exp(total - total.max())
         best = int(share.argmax())
         return self.langs[best], float(share[best] / share.sum())
@@ -118,24 +117,36 @@ def learn(
     picked = known.select("key", "lang").withColumn("n", F.row_number().over(order))
     picked = picked.filter(F.col("n") <= sample_rows).select("key").distinct()
     sample = known.join(F.broadcast(picked), "key", "left_semi").select("lang", "text")  # bounded above
-    schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.string()), ("n", pa.int64())])
+    word_schema = pa.schema([("lang", pa.string()), ("item", pa.string()), ("n", pa.int64())])
+    gram_schema = pa.schema([("kind", pa.int32()), *word_schema])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):  # keeps the tallies of a task small
             by: dict[str, Counter] = {}
             for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(name, Counter()).update(words_of(body))
             for name, found in by.items():
-                for kind, order in enumerate((0, *ORDERS)):
-                    tally = found if not kind else Counter()
-                    if kind:
-                        for word, n in found.items():
-                            for g in grams(word, order):
-                                tally[g] += n
-                    yield batch(schema, [name] * len(tally), [kind] * len(tally), list(tally), list(tally.values()))
-
-    counted = sample.mapInArrow(count, "lang string, kind int, item string, n long")
-    counted = saved(counted.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "language-counts")
+                yield batch(word_schema, [name] * len(found), list(found), list(found.values()))
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1, 1 << 19):
+            by: dict[tuple[str, int], Counter] = {}
+            for name, word, n in zip(*(c.to_pylist() for c in b.columns)):
+                for kind, size in enumerate(ORDERS, start=1):
+                    tally = by.setdefault((name, kind), Counter())
+                    for g in grams(word, size):
+                        tally[g] += n
+            for (name, kind), found in by.items():
+                k = len(found)
+                yield batch(gram_schema, [kind] * k, [name] * k, list(found), list(found.values()))
+
+    # n-grams are cut from each distinct word once, not from each of its occurrences
+    found = sample.mapInArrow(count_words, "lang string, item string, n long")
+    found = saved(found.groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-words")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = found.repartition(width, "lang", "item").mapInArrow(count_grams, "kind int, lang string, item string, n long")
+    cut = cut.groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
+    counted = saved(found.select(F.lit(0).alias("kind"), "*").unionByName(cut), "language-counts")
     totals = counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in totals})
     at = {x: i for i, x in enumerate(langs)}
