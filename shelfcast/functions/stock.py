@@ -13,7 +13,7 @@ SENSITIVITY_Z = {"85%": 1.036, "90%": 1.282, "95%": 1.645, "97.5%": 1.960, "99%"
 
 def check_lead_time(days: int) -> int:
     if days <= 0:
-        raise ValueError("lead_time_days must be positive")
+        raise ValueError(f"a lead time of {days} days is too short")
     return days
 
 
@@ -31,20 +31,20 @@ def economic_order_quantity(
 ) -> Column:
     """sqrt(2DS/H); 0 without demand. A non-positive holding cost stops the job."""
     if order_cost < 0:
-        raise ValueError("order_cost must be non-negative")
+        raise ValueError(f"order cost below zero: {order_cost}")
     if not isinstance(holding_cost, Column):
         if holding_cost <= 0:
-            raise ValueError("holding_cost must be positive")
+            raise ValueError(f"holding cost not above zero: {holding_cost}")
         holding_cost = F.lit(float(holding_cost))
     root = F.sqrt(F.lit(2.0) * annual_demand * F.lit(float(order_cost)) / holding_cost)
     return (
         F.when(annual_demand <= 0, F.lit(0.0))
-        .when(holding_cost <= 0, F.raise_error(F.lit("holding_cost must be positive")).cast("double"))
+        .when(holding_cost <= 0, F.raise_error(F.lit("holding cost not above zero")).cast("double"))
         .otherwise(root)
     )
 
 
 def order_up_to(reorder: Column, target_days: int, mean_daily: Column) -> Column:
     if target_days < 0:
-        raise ValueError("target_days must be non-negative")
+        raise ValueError(f"cannot cover {target_days} days")
     return reorder + F.lit(float(target_days)) * mean_daily

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -192,19 +193,17 @@ def compare_models(runs: DataFrame) -> DataFrame:
     ).orderBy("rank", "wape", "model")
 
 
-# Cumulative probabilities of Poisson(1) for 0, 1, 2, ... draws.
-POISSON_ONE = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-    0.999998874797402,
-    0.9999998885745217,
-)
+MODULUS = (1 << 31) - 1
+
+
+def poisson_steps(modulus: int = MODULUS) -> list[int]:
+    """The smallest of `modulus` equally likely draws that stand for 1, 2, 3, ... under Poisson(1).
+    The list ends where no draw is left, so weights have no other bound."""
+    steps, term, total = [], math.exp(-1), 0.0
+    while (step := math.ceil((total := total + term) * modulus)) < modulus:
+        steps.append(step)
+        term /= len(steps)
+    return steps
 
 
 def bootstrap_wape_difference(
@@ -212,20 +211,25 @@ def bootstrap_wape_difference(
 ) -> DataFrame:
     """Bootstrap of WAPE(a) - WAPE(b): mean, 95 % interval, share of differences >= 0.
 
-    Each row draws a Poisson(1) weight per replicate from a hash of its key, so a repeated task
-    draws the same weights. Replicates are summed map-side: the shuffle carries n rows per task.
-    Weights of 0 are left out before the sums.
+    Each row draws a Poisson(1) weight per replicate by whole-number arithmetic on a hash of its
+    key: a repeated task draws the same weights, and so does any engine with MD5. Replicates are
+    summed map-side: the shuffle carries n rows per task. Weights of 0 are left out before the sums.
     """
     actual = F.col(y).cast("double")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     rows = df.select(
-        F.xxhash64(F.lit(seed), *key).alias("_h"),
+        F.conv(F.substring(digest, 1, 7), 16, 10).cast("long").alias("_start"),
+        F.conv(F.substring(digest, 8, 7), 16, 10).cast("long").alias("_stride"),
         F.abs(actual).alias("_y"),
         F.abs(F.col(a) - actual).alias("_a"),
         F.abs(F.col(b) - actual).alias("_b"),
     )
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = F.pmod(F.xxhash64("_h", "rep"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    weight = sum(((u >= F.lit(c)).cast("int") for c in POISSON_ONE), F.lit(0))
+    m = F.lit(MODULUS)
+    x = (F.col("_start") + F.col("rep") * (F.col("_stride") + 1)) % m
+    fourth = ((x * x) % m) * ((x * x) % m) % m
+    draw = fourth * x % m  # fifth powers permute the residues of this prime
+    weight = sum(((draw >= F.lit(step)).cast("int") for step in poisson_steps()), F.lit(0))
     weighted = reps.withColumn("w", weight).filter(F.col("w") > 0)
     sums = weighted.groupBy("rep").agg(
         *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("_y", "_a", "_b")]

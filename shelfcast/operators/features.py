@@ -62,7 +62,7 @@ def staged_sales(sales: DataFrame) -> DataFrame:
 # construction short.
 _BY_DAY = "over (partition by store_id, sku_id order by date)"
 _RUNNING = "over (partition by store_id, sku_id order by date rows between unbounded preceding and current row)"
-_TOTALS = ("_n", "_dev", "_sq", "_zero")
+_TOTALS = ("_n", "_dev", "_zero")
 
 
 def _lag_columns() -> list[str]:
@@ -75,19 +75,17 @@ def add_lags(df: DataFrame) -> DataFrame:
 
 
 def _with_totals(df: DataFrame) -> DataFrame:
-    """Running count, sum and sum of squares of the units less the series' first value, zero count.
+    """Running count, sum of the units less the series' first value, zero count.
 
     A moving frame is then the difference of two totals: constant work per row for any width,
-    where a sliding frame would be summed again for each row. The shift by the first value keeps
-    the squares small, so that their totals stay exact (below 2^53) and differences lose nothing.
+    where a sliding frame would be summed again for each row. All totals are whole numbers, so
+    differences are exact. Deviations have no such totals and use plain frames.
     """
     based = df.selectExpr("*", f"first_value(units_sold) {_RUNNING} as _base")
-    shifted = "cast(units_sold - _base as double)"
     return based.selectExpr(
         "*",
         f"count(units_sold) {_RUNNING} as _n",
         f"sum(units_sold - _base) {_RUNNING} as _dev",
-        f"sum({shifted} * {shifted}) {_RUNNING} as _sq",
         f"count(case when units_sold = 0 then 1 end) {_RUNNING} as _zero",
     )
 
@@ -102,7 +100,9 @@ def _frame(total: str, first: int, last: int) -> str:
 
 
 def _rolling_frames() -> list[str]:
-    return [f"{_frame(c, n, 1)} as {c}{n}" for n in ROLLING for c in _TOTALS]
+    frames = [f"{_frame(c, n, 1)} as {c}{n}" for n in ROLLING for c in _TOTALS]
+    before = "partition by store_id, sku_id order by date rows between {} preceding and 1 preceding"
+    return frames + [f"stddev_samp(units_sold) over ({before.format(n)}) as _std{n}" for n in ROLLING]
 
 
 def _mean(n: int | str) -> str:
@@ -112,10 +112,9 @@ def _mean(n: int | str) -> str:
 def _rolling_columns() -> list[str]:
     out = []
     for n in ROLLING:
-        spread = f"greatest(_n{n} * _sq{n} - cast(_dev{n} as double) * _dev{n}, 0D)"
         out += [
             f"case when _n{n} > 0 then {_mean(n)} end as rolling_mean_{n}",
-            f"case when _n{n} > 1 then sqrt({spread} / (_n{n} * (_n{n} - 1))) end as rolling_std_{n}",
+            f"_std{n} as rolling_std_{n}",
             f"case when _n{n} > 0 then _zero{n} / _n{n} end as rolling_zero_rate_{n}",
         ]
     return out

@@ -904,14 +904,31 @@ def e15(t):
     return evaluate.compare_models(per_fold(t))
 
 
-@entry("e16_bootstrap", settle=True)
+_draw = "(((x * x) % 2147483647) * ((x * x) % 2147483647) % 2147483647) * x % 2147483647"
+_weight = " + ".join(f"cast({_draw} >= {step} as int)" for step in evaluate.poisson_steps())
+
+
+@entry(
+    "e16_bootstrap",
+    "scored",
+    "select avg(d) as mean_diff, quantile_cont(d, 0.025) as ci_lower_95, quantile_cont(d, 0.975) as ci_upper_95, "
+    "avg(case when d >= 0 then 1.0::double else 0.0::double end) as p_value_a_better_than_b from ("
+    "select (sum(w * abs(a - y)) - sum(w * abs(b - y))) / greatest(sum(w * abs(y)), 1e-9) as d from ("
+    f"select rep, y, a, b, {_weight} as w from (select rep, y, a, b, "
+    "(cast('0x' || substr(h, 1, 7) as bigint) + rep * (cast('0x' || substr(h, 8, 7) as bigint) + 1)) % 2147483647 as x "
+    "from (select md5(concat_ws('|', '42', store_id, sku_id, date)) as h, max(y_true) as y, "
+    "max(case when model = 'moving_average' then y_pred end) as a, max(case when model = 'naive' then y_pred end) as b "
+    "from scored group by store_id, sku_id, date), (select unnest(range(1, 1001)) as rep) r)) group by rep)",
+    "mean_diff ci_lower_95 ci_upper_95 p_value_a_better_than_b",
+    settle=True,
+)
 def e16(t):
     pair = scored(t).groupBy(*SERIES_DAY).agg(
         F.max("y_true").alias("y_true"),
         F.max(F.when(F.col("model") == "moving_average", F.col("y_pred"))).alias("a"),
         F.max(F.when(F.col("model") == "naive", F.col("y_pred"))).alias("b"),
     )
-    return evaluate.bootstrap_wape_difference(pair, SERIES_DAY, "a", "b", n=200)
+    return evaluate.bootstrap_wape_difference(pair, SERIES_DAY, "a", "b")
 
 
 # ---- guards and model frame ---------------------------------------------------------------------

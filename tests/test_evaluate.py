@@ -139,3 +139,12 @@ def test_learned_models_never_predict_below_zero(panel):
     poisson = forecast.fit_poisson(train, ["lag_1_units"])
     scored = forecast.predict_learned(poisson, val, ["lag_1_units"], [], blank=0.0)
     assert scored.agg(F.min("y_pred")).first()[0] > 0.0
+
+
+def test_poisson_steps_give_mean_and_variance_one():
+    steps = evaluate.poisson_steps()
+    edges = [0, *steps, evaluate.MODULUS]
+    shares = [(hi - lo) / evaluate.MODULUS for lo, hi in zip(edges, edges[1:])]
+    mean = sum(k * p for k, p in enumerate(shares))
+    assert mean == pytest.approx(1, abs=1e-7)
+    assert sum((k - mean) ** 2 * p for k, p in enumerate(shares)) == pytest.approx(1, abs=1e-6)

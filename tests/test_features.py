@@ -1,4 +1,5 @@
 import math
+import statistics
 
 import pytest
 from helpers import DAY, day, ns, rows
@@ -123,3 +124,16 @@ def test_master_shuffles_each_input_once(driver):
         if "Exchange hashpartitioning(store_id" in line and line.count("#") == 3 + line.count("plan_id=#") - 1
     ]
     assert len(by_series) == 2, plan
+
+
+def test_rolling_deviation_of_large_volumes_after_a_ramp(spark):
+    units = [400_000] + [47_000_000 + (i * 7_919) % 80_000 - 40_000 for i in range(400)]
+    frame = spark.createDataFrame(
+        [("S1", "K1", day(i), u) for i, u in enumerate(units)], "store_id string, sku_id string, date long, units_sold long"
+    )
+    found = gold.add_rolling(frame).orderBy("date").collect()
+    for i, row in enumerate(found):
+        for n in gold.ROLLING:
+            before = units[max(0, i - n) : i]
+            want = statistics.stdev(before) if len(before) > 1 else None
+            assert row[f"rolling_std_{n}"] == (want if want is None else pytest.approx(want, rel=1e-9))
