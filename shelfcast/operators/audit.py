@@ -106,6 +106,14 @@ def _long(wide: DataFrame, names: list[str], fields: dict[str, str]) -> DataFram
     return wide.select(F.explode(F.array(*items)).alias("r")).select("r.*")
 
 
+def feature_summary(df: DataFrame) -> DataFrame:
+    """One row per feature column of a table: whether it is categorical, and its rows with a value."""
+    features, categorical = feature_columns(df)
+    wide = df.agg(*[F.count(c).alias(f"present_{c}") for c in features])
+    wide = wide.withColumns({f"kind_{c}": F.lit(c in categorical) for c in features})
+    return _long(wide, features, {"is_categorical": "kind", "present": "present"})
+
+
 def label_correlations(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
     """Pearson correlation of each numeric feature with the label over pairs without nulls.
 

@@ -246,13 +246,13 @@ def calendar_features(calendar: DataFrame) -> DataFrame:
 def features_master(sales: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """All feature families in one pass: 49 columns per (store_id, sku_id, date).
 
-    The calendar is broadcast: it has one row per day (about 37,000 rows for a century).
+    Spark broadcasts the calendar (one row per day) as long as its size check allows.
     """
     panel = sales.select(*SERIES_DAY, "units_sold", "revenue")
     # the as-of stream leaves every series in date order: the demand windows reuse that sort
     wide = add_promo(add_demand_history(add_prices(panel, prices)))
     days = calendar_features(calendar)
-    return wide.join(F.broadcast(days), "date", "left").select(
+    return wide.join(days, "date", "left").select(
         *SERIES_DAY,
         F.col("units_sold").alias("label_units_sold"),
         "revenue",

@@ -90,6 +90,13 @@ def promo_lift(sales: DataFrame, prices: DataFrame) -> DataFrame:
     return both.withColumn("lift", F.col("promo_mean") / F.nullif(F.col("other_mean"), F.lit(0.0)))
 
 
+def mean_promo_lift(sales: DataFrame, prices: DataFrame) -> DataFrame:
+    """Number of series seen on and off promotion and the mean of their lifts (null lifts, of series
+    without units off promotion, count as series only)."""
+    lifts = promo_lift(sales, prices)
+    return lifts.agg(F.count("*").alias("n_series"), F.avg("lift").alias("mean_lift"))
+
+
 def intermittent_share(sales: DataFrame, limit: float = 0.5) -> DataFrame:
     """Share of SKUs with more than `limit` of their rows at zero units."""
     zero = F.avg((F.col("units_sold") == 0).cast("double"))

@@ -689,6 +689,18 @@ select {_keys}, units_sold as label_units_sold, revenue, {', '.join(gold.LAG_COL
   {', '.join(gold.CALENDAR_COLUMNS)}, {', '.join(gold.SEASONAL_COLUMNS)}
 from history join priced using ({_keys}) join promo using ({_keys})
 left join calendar_features using (date)"""
+oracle.cte("master", "history priced promo calendar_features", _master_sql)
+oracle.cte(
+    "held_master",
+    "master folds",
+    "select m.* from master m, folds f where fold_id = 3 and date between val_start and val_end",
+)
+oracle.cte(
+    "recent_master",
+    "held_master folds",
+    "select m.* from master m, folds f where fold_id = 3 and date <= train_end "
+    "and date >= train_end - (select max(date) - min(date) from held_master)",
+)
 _master_doubles = (
     f"revenue {_rolling_names} current_price price_4w_ago price_ratio_4w discount_depth {_cycles} "
     "same_week_last_year_mean yoy_growth_ratio"
@@ -758,13 +770,14 @@ def f05(t):
     return _predict(t, "moving_average")
 
 
+def _with_categories(t: DriverTables) -> DataFrame:
+    rows = master(t).join(t.products().select("sku_id", "category"), "sku_id", "left")
+    return rows.join(t.stores().select("store_id", "store_type"), "store_id", "left")
+
+
 def _model_rows(t: DriverTables) -> DataFrame:
     """The master table with categories, written once: each boosting round reads it again."""
-    return freeze(
-        master(t)
-        .join(t.products().select("sku_id", "category"), "sku_id", "left")
-        .join(t.stores().select("store_id", "store_type"), "store_id", "left")
-    )
+    return freeze(_with_categories(t))
 
 
 @entry("f06_boosted_trees", settle=True)
@@ -879,13 +892,11 @@ def e13b(t):
 
 @entry("e14_learned_folds", settle=True)
 def e14(t):
-    # promotions of the sparse driver data come and go, and with them nulls of the promo distances
     return experiments.run_learned(
         _model_rows(t),
-        n_folds=2,
+        n_folds=N_FOLDS,
         horizon=HORIZON,
         min_train=MIN_TRAIN,
-        null_tolerance=0.5,
         max_iter=2,
         max_depth=3,
     )[0]
@@ -934,86 +945,101 @@ def e16(t):
 # ---- guards and model frame ---------------------------------------------------------------------
 
 
+_features = [*SERIES, *gold.LAG_COLUMNS, *gold.ROLLING_COLUMNS, *gold.PRICE_COLUMNS, *gold.PROMO_COLUMNS]
+_features += [c for c in gold.CALENDAR_COLUMNS if c not in audit.NOT_FEATURES] + gold.SEASONAL_COLUMNS
+_flags = ["is_on_promo", "is_weekend", "is_us_holiday"]
+_numeric = [c for c in _features if c not in [*SERIES, *_flags]]
+
+
+def written_master(t: DriverTables) -> DataFrame:
+    zone = Layer(t.spark, f"{scratch_folder(t.spark)}/gold")
+    zone.write(master(t), "features_master", "overwrite", ["year", "month"])
+    return zone.read("features_master")
+
+
+def _per_feature(names: list[str], source: str, **fields: str) -> str:
+    """One row per feature from one pass; each field is an aggregate with {0} for the column."""
+    cells = ", ".join(f"{e.format(c)} as {f}_{c}" for f, e in fields.items() for c in names)
+    items = ", ".join(
+        "{'feature': '" + c + "', " + ", ".join(f"'{f}': {f}_{c}" for f in fields) + "}" for c in names
+    )
+    return f"select r.* from (select unnest([{items}]) as r from (select {cells} from {source}) wide) listed"
+
+
 @entry(
     "l01_feature_columns",
-    "sales",
-    "select * from (values "
-    + ", ".join(
-        f"('{c}', {str(c in audit.CATEGORICAL).lower()})"
-        for c in (
-            [*SERIES, *gold.LAG_COLUMNS, *gold.ROLLING_COLUMNS, *gold.PRICE_COLUMNS, *gold.PROMO_COLUMNS]
-            + [c for c in gold.CALENDAR_COLUMNS if c not in ("year", "month")]
-            + gold.SEASONAL_COLUMNS
-        )
-    )
-    + ") f(feature, is_categorical) where (select count(*) from sales) > 0",
+    "master",
+    "select feature, feature in ('store_id', 'sku_id') as is_categorical, present from ("
+    + _per_feature(_features, "master", present="count({0})")
+    + ") p",
     settle=True,
 )
 def l01(t):
-    columns, categorical = audit.feature_columns(master(t))
-    named = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c in categorical).alias("is_categorical")) for c in columns]))
-    present = t.table("lineitem").agg((F.count("*") > 0).alias("some")).filter("some")
-    return present.select(named.alias("r")).select("r.*")
-
-
-_corr_names = [*gold.LAG_COLUMNS, "rolling_mean_7", "rolling_mean_28", "rolling_std_28"]
+    return audit.feature_summary(written_master(t))
 
 
 @entry(
     "l02_label_correlation",
-    "history",
-    " union all ".join(
-        f"select '{c}' as feature, corr({c}, units_sold) as correlation from history" for c in _corr_names
+    "master",
+    _per_feature(
+        _numeric,
+        "master",
+        correlation="case when min({0}) < max({0}) then corr({0}, label_units_sold) end",
     ),
     "correlation",
+    settle=True,
 )
 def l02(t):
-    rows = history(t).withColumnRenamed("units_sold", "label_units_sold")
-    return audit.label_correlations(rows, _corr_names)
+    rows = master(t)
+    return audit.label_correlations(rows, audit.feature_columns(rows)[0])
 
 
-_null_names = ["lag_1_units", "lag_28_units", "lag_365_units", "rolling_std_91"]
-_null_rate = "(select avg(case when {0} is null then 1.0::double else 0.0::double end) from {1})"
+_null_rate = "avg(case when {0} is null then 1.0::double else 0.0::double end)"
 
 
 @entry(
     "l03_fold_null_rates",
-    "held recent",
-    "select *, train_null_rate - val_null_rate > 0.05 as suspicious from ("
-    + " union all ".join(
-        f"select '{c}' as feature, {_null_rate.format(c, 'recent')} as train_null_rate, "
-        f"{_null_rate.format(c, 'held')} as val_null_rate, "
-        "(select max(date) from recent) >= (select min(date) from held) as dates_overlap"
-        for c in _null_names
-    )
-    + ") r",
+    "held_master recent_master",
+    "select feature, t.rate as train_null_rate, v.rate as val_null_rate, t.rate - v.rate > 0.05 as suspicious, "
+    "(select max(date) from recent_master) >= (select min(date) from held_master) as dates_overlap from ("
+    + _per_feature(_features, "recent_master", rate=_null_rate)
+    + ") t join ("
+    + _per_feature(_features, "held_master", rate=_null_rate)
+    + ") v using (feature)",
     "train_null_rate val_null_rate",
     settle=True,
 )
 def l03(t):
     folds = evaluate.fold_list(evaluate.walk_forward_folds(t.sales(), N_FOLDS, HORIZON, MIN_TRAIN))
-    rows = history(t)
-    train = rows.filter(F.col("date").between(folds[2].train_start, folds[2].train_end))
-    val = rows.filter(F.col("date").between(folds[2].val_start, folds[2].val_end))
-    return audit.fold_null_rates(train, val, _null_names)
+    rows = freeze(master(t))
+    train = evaluate.between_days(rows, folds[2].train_start, folds[2].train_end)
+    val = evaluate.between_days(rows, folds[2].val_start, folds[2].val_end)
+    return audit.fold_null_rates(train, val, audit.feature_columns(rows)[0])
 
 
 @entry(
     "l04_model_frame",
-    "calendar priced",
-    f"select store_id, sku_id, timestamp '1970-01-01' + to_days(cast(date // {DAY} as int)) as date, "
-    "cast(is_on_promo as double) as is_on_promo from priced",
-    "is_on_promo",
+    "master products stores",
+    f"select m.* replace (timestamp '1970-01-01' + to_days(cast(date // {DAY} as int)) as date, "
+    + ", ".join(f"cast({c} as double) as {c}" for c in _flags)
+    + "), category, store_type from master m left join products using (sku_id) left join stores using (store_id)",
+    _master_doubles + " " + " ".join(_flags),
     settle=True,
 )
 def l04(t):
-    priced = gold.add_prices(t.sales().select(*SERIES_DAY), t.prices())
-    return audit.model_frame(priced.select(*SERIES_DAY, "is_on_promo"))
+    return audit.model_frame(_with_categories(t))
+
+
+def _last_train(t: DriverTables) -> DataFrame:
+    """The labels that the last fold trains on."""
+    folds = evaluate.fold_list(evaluate.walk_forward_folds(t.sales(), N_FOLDS, HORIZON, MIN_TRAIN))
+    train = evaluate.between_days(t.sales(), folds[-1].train_start, folds[-1].train_end)
+    return train.withColumnRenamed("units_sold", "label_units_sold")
 
 
-@entry("l05_volume_bands", "bands", "select * from bands")
+@entry("l05_volume_bands", "bands", "select * from bands", settle=True)
 def l05(t):
-    return segments.train_volume_tiers(t.sales().withColumnRenamed("units_sold", "label_units_sold"))
+    return segments.train_volume_tiers(_last_train(t))
 
 
 @entry(
@@ -1026,9 +1052,10 @@ def l05(t):
     settle=True,
 )
 def l06(t):
-    rows = preds(t).join(t.products().select("sku_id", "category"), "sku_id", "left")
+    last = preds(t).filter(F.col("fold_id") == N_FOLDS)
+    rows = last.join(t.products().select("sku_id", "category"), "sku_id", "left")
     rows = rows.join(t.stores().select("store_id", "store_type"), "store_id", "left")
-    return segments.segment_metric_log(rows, t.sales().withColumnRenamed("units_sold", "label_units_sold"))
+    return segments.segment_metric_log(rows, _last_train(t))
 
 
 # ---- segments -----------------------------------------------------------------------------------
@@ -1397,33 +1424,46 @@ def d02(t):
     "d03_price_panel",
     "sales prices products",
     f"select s.store_id, s.sku_id, s.date, coalesce(p.price, base_price) as price, coalesce(is_promo, false) as is_promo, "
-    "least(greatest(coalesce(p.price, base_price) / base_price, 0.4), 1.6) as price_ratio "
+    "least(greatest(coalesce(p.price, base_price) / base_price, 0.4), 1.6) as price_ratio, "
+    "round(units_sold * coalesce(p.price, base_price), 2) as revenue "
     f"from (select *, date - ((date // {DAY} + 3) % 7) * {DAY} as week_start from sales) s "
     "left join prices p on p.store_id = s.store_id and p.sku_id = s.sku_id and p.week_start = s.week_start "
     "left join products on products.sku_id = s.sku_id",
-    "price price_ratio",
+    "price price_ratio revenue",
     settle=True,
 )
 def d03(t):
     panel = t.sales().select(*SERIES_DAY, "units_sold", week_start("date").alias("week_start"))
-    return profile.price_panel(panel, t.prices(), t.products()).select(*SERIES_DAY, "price", "is_promo", "price_ratio")
+    return profile.price_panel(panel, t.prices(), t.products()).select(
+        *SERIES_DAY, "price", "is_promo", "price_ratio", "revenue"
+    )
 
 
-@entry(
-    "d04_promo_lift",
-    "sales prices",
+_lift_sql = (
     "select *, promo_mean / other_mean as lift from (select s.store_id, s.sku_id, "
     "avg(units_sold) filter (where is_promo) as promo_mean, avg(units_sold) filter (where not is_promo) as other_mean "
     f"from sales s join prices p on p.store_id = s.store_id and p.sku_id = s.sku_id "
     f"and p.week_start = s.date - ((s.date // {DAY} + 3) % 7) * {DAY} group by s.store_id, s.sku_id) m "
-    "where promo_mean is not null and other_mean is not null",
-    "promo_mean other_mean lift",
-    settle=True,
+    "where promo_mean is not null and other_mean is not null"
 )
+
+
+@entry("d04_promo_lift", "sales prices", _lift_sql, "promo_mean other_mean lift", settle=True)
 def d04(t):
     return profile.promo_lift(t.sales(), t.prices())
 
 
+@entry(
+    "d04_mean_promo_lift",
+    "sales prices",
+    f"select count(*) as n_series, avg(nullif(lift, 'inf'::double)) as mean_lift from ({_lift_sql}) l",
+    "mean_lift",
+    settle=True,
+)
+def d04b(t):
+    return profile.mean_promo_lift(t.sales(), t.prices())
+
+
 @entry(
     "d05_intermittent_share",
     "dense",

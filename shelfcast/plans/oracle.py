@@ -508,34 +508,29 @@ cte(
 )
 cte("level_kpis", "level_sim", KPIS.replace("from sim where", "from level_sim where"))
 cte(
-    "held",
-    "history folds",
-    "select h.* from history h, folds f where fold_id = 3 and date between val_start and val_end",
-)
-cte(
-    "recent",
-    "held",
+    "train_volume",
+    "sales folds",
     """
-select h.* from history h, folds f where fold_id = 3 and date <= train_end
-  and date >= train_end - (select max(date) - min(date) from held)""",
+select store_id, sku_id, cast(sum(units_sold) as bigint) as total_units_sold
+from sales, folds where fold_id = 3 and date between train_start and train_end group by store_id, sku_id""",
 )
 cte(
     "bands",
-    "volume",
+    "train_volume",
     """
 select store_id, sku_id, case when not (lo < q1 and q1 < q2 and q2 < hi) then 'medium'
   when v <= q1 then 'low' when v <= q2 then 'medium' else 'high' end as volume_tier
-from (select *, cast(total_units_sold as double) as v from volume),
+from (select *, cast(total_units_sold as double) as v from train_volume),
   (select min(total_units_sold) as lo, max(total_units_sold) as hi,
      quantile_cont(cast(total_units_sold as double), 1.0::double / 3) as q1,
-     quantile_cont(cast(total_units_sold as double), 2.0::double / 3) as q2 from volume)""",
+     quantile_cont(cast(total_units_sold as double), 2.0::double / 3) as q2 from train_volume)""",
 )
 cte(
     "banded",
     "preds products stores bands",
     """
 select p.*, category, store_type, volume_tier from preds p left join products using (sku_id)
-left join stores using (store_id) left join bands using (store_id, sku_id)""",
+left join stores using (store_id) left join bands using (store_id, sku_id) where fold_id = 3""",
 )
 
 
