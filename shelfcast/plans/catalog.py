@@ -183,12 +183,14 @@ def s03(t):
 )
 def s04(t):
     zone = raw_zone(t, ("sales",))
-    t.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = t.spark.conf.get(mode)
+    t.spark.conf.set(mode, "dynamic")
     try:
         later = t.sales().filter(F.col("year") >= 1998)
         zone.write(later, "sales", "overwrite", ["year", "month"])
     finally:
-        t.spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+        t.spark.conf.set(mode, before)
     return zone.read("sales").groupBy("year").agg(F.count("*").alias("n"))
 
 
