@@ -69,6 +69,8 @@ def test_feature_columns_and_model_frame(spark):
         "store_id string, sku_id string, date long, label_units_sold long, revenue double, is_on_promo boolean, year int",
     )
     assert audit.feature_columns(df) == (["store_id", "sku_id", "is_on_promo"], ["store_id", "sku_id"])
+    present = [("store_id", True, 1), ("sku_id", True, 1), ("is_on_promo", False, 1)]
+    assert [tuple(r) for r in audit.feature_summary(df).collect()] == present
     typed = dict(audit.model_frame(df).dtypes)
     assert typed["date"] == "timestamp" and typed["is_on_promo"] == "double"
     with pytest.raises(ValueError, match="note"):

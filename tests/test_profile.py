@@ -53,6 +53,7 @@ def test_lift_share_and_dirt(spark):
         keys + "date long, units_sold long, revenue double",
     )
     assert rows(profile.promo_lift(sales, prices).select("sku_id", "lift")) == [("a", 2.0)]
+    assert rows(profile.mean_promo_lift(sales, prices)) == [(1, 2.0)]
     assert rows(profile.intermittent_share(sales)) == [(3, 1 / 3)]
     dirt = profile.dirtiness(sales, prices).first()
     assert (dirt.n_rows, dirt.duplicate_rate, dirt.negative_rate, dirt.wrong_case_rate) == (6, 1 / 6, 1 / 6, 1 / 6)
