@@ -32,11 +32,11 @@ SEED = 42
 BLOCKS = ((23, 0b110001110101, 3), (23, 0b110001110101, 3), (15, 0b10011, 1))
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Bit i is set if it is set in over half the hashes of all shingles, repeats included."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of all shingles of lower-case words, repeats included; a text of fewer words is one shingle."""
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(found) <= words:
         hashes = [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
     else:
@@ -44,9 +44,17 @@ def fingerprint(text: bytes, words: int = 3) -> int:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ends = np.cumsum(sizes + 1) - 1
         digest = xxhash.xxh64_intdigest
-        spans = zip((ends - sizes)[: 1 - words].tolist(), ends[words - 1 :].tolist())
+        spans = zip((ends - sizes)[: 1 - words or None].tolist(), ends[words - 1 :].tolist())
         hashes = [digest(joined[a:b], SEED) for a, b in spans]
-    values = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """Bit i is set if it is set in over half the hashes of all shingles, repeats included."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
+    values = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(values), 1 << 16):
         counts += np.unpackbits(values[i : i + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -239,8 +247,14 @@ def one_of_each_group(
 
     marked = saved(fingerprints(docs, key, text, words), "fingerprints")
     named = _groups(marked, threshold, blocks).select("fp", "root")
+    return first_rows(docs, marked.join(named, "fp"), mark, key, text)
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame, mark, key: str, text: str) -> DataFrame:
+    """One row of `docs` for each root of `rooted` (key, fp, root): that with the smallest key, then
+    the smallest text. `mark` gives the fp of a text."""
     row = F.struct(F.col("key").isNull().alias("n"), F.coalesce("key", F.lit(0)).alias("k"), "fp")
-    first = marked.join(named, "fp").groupBy("root").agg(F.min(row).alias("first")).select("first.*")
+    first = rooted.groupBy("root").agg(F.min(row).alias("first")).select("first.*")
     first = first.toDF("shelfcast_n", "shelfcast_k", "shelfcast_fp")
     number = F.col(key).cast("long")
     rows = docs.withColumns(
