@@ -789,7 +789,7 @@ def f06(t):
     columns, categorical = audit.feature_columns(rows)
     train = evaluate.between_days(rows, folds[0].train_start, folds[0].train_end)
     val = evaluate.between_days(rows, folds[0].val_start, folds[0].val_end)
-    model = forecast.fit_boosted_trees(train, val, columns, categorical, max_iter=5, max_depth=4)
+    model = forecast.fit_boosted_trees(train, val, columns, categorical)
     return forecast.predict_learned(model, val, columns, categorical).select(
         *SERIES_DAY, F.col("label_units_sold").alias("y_true"), "y_pred"
     )
@@ -899,8 +899,6 @@ def e14(t):
         n_folds=N_FOLDS,
         horizon=HORIZON,
         min_train=MIN_TRAIN,
-        max_iter=2,
-        max_depth=3,
     )[0]
 
 

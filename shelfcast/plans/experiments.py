@@ -40,34 +40,46 @@ def run_learned(
     null_tolerance: float = 0.05,
     **params,
 ) -> tuple[DataFrame, DataFrame]:
-    """Boosted trees per fold behind the leakage guards: scores per fold with the gain on the
-    baseline bar, and the scored validation rows of all folds.
+    """Boosted trees and a Poisson regression per fold behind the leakage guards: scores per model and
+    fold with the gain on the baseline bar and, for the trees, the features' importances; and the
+    scored validation rows of all folds.
 
     The loop runs over folds only; every fit and every score is a distributed job.
     """
     columns, categorical = audit.feature_columns(features)
     audit.require_no_target_leakage(features, columns)
     _, folds = fold_context(features, n_folds, horizon, min_train)
-    scored_all = None
+    numeric = [c for c in columns if c not in categorical]
+    keep = [c for c in ("category", "store_type") if c in features.columns]
+    scored_all, gains = None, []
     for fold in folds:
         train = evaluate.between_days(features, fold.train_start, fold.train_end)
         val = evaluate.between_days(features, fold.val_start, fold.val_end)
         audit.require_no_fold_leakage(train, val, columns, null_tolerance)
-        model = forecast.fit_boosted_trees(train, val, columns, categorical, **params)
-        keep = [c for c in ("category", "store_type") if c in features.columns]
-        scored = forecast.predict_learned(model, val, columns, categorical).select(
-            F.lit(fold.fold_id).alias("fold_id"),
-            *SERIES_DAY,
-            *keep,
-            F.col(LABEL).cast("double").alias("y_true"),
-            "y_pred",
-        )
-        scored_all = scored if scored_all is None else scored_all.unionByName(scored)
+        trees = forecast.fit_boosted_trees(train, val, columns, categorical, **params)
+        poisson = forecast.fit_poisson(train, numeric)
+        gains.append((fold.fold_id, "boosted_trees", forecast.importances(trees, columns)))
+        for name, predicted in (
+            ("boosted_trees", forecast.predict_learned(trees, val, columns, categorical)),
+            ("poisson", forecast.predict_learned(poisson, val, numeric, [], blank=0.0)),
+        ):
+            scored = predicted.select(
+                F.lit(name).alias("model"),
+                F.lit(fold.fold_id).alias("fold_id"),
+                *SERIES_DAY,
+                *keep,
+                F.col(LABEL).cast("double").alias("y_true"),
+                "y_pred",
+            )
+            scored_all = scored if scored_all is None else scored_all.unionByName(scored)
+    gained = features.sparkSession.createDataFrame(
+        gains, "fold_id int, model string, importances array<struct<feature: string, gain: double>>"
+    )
     bar = F.lit(evaluate.BAR_WAPE)
     per_fold = (
-        scored_all.groupBy("fold_id")
+        scored_all.groupBy("model", "fold_id")
         .agg(*score_columns())
-        .withColumn("model", F.lit("boosted_trees"))
         .withColumn("delta_wape_vs_moving_average", (bar - F.col("wape")) / bar)
+        .join(gained, ["fold_id", "model"], "left")
     )
     return per_fold, scored_all
