@@ -135,7 +135,10 @@ def search(
     blocks = max(1, math.ceil(asked.count() / block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     packed = asked.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    met = index.join(packed, "dim").withColumn("cell", F.concat_ws("/", "shard", "dim", "block"))
+    # each block goes to every shard by number: with one length of vectors, `dim` alone is one join key
+    last = index.agg(F.max("shard")).first()[0] or 0
+    packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    met = index.join(packed, ["dim", "shard"]).withColumn("cell", F.concat_ws("/", "shard", "dim", "block"))
 
     def answer(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = []
