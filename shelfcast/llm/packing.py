@@ -8,8 +8,9 @@ and cost (2,048 and 2,048 squared) never bind beside 2,048 tokens; lower them to
 documents or its attention work.
 
 Documents longer than a sequence are cut into full pieces; the first may be shorter. Pieces are dealt
-evenly, by their place in the input, to groups of about `group_rows`, each packed in one task, so a
-key shared by many rows makes no large group. Whole pieces fill a sequence alone.
+evenly, by their place in the input, to groups of about `group_rows` pieces or `group_tokens` tokens,
+each packed in one task, so a key shared by many rows makes no large group. Underfilled sequences of
+all groups are packed again together. Whole pieces fill a sequence alone.
 
 Rows: null text counts as empty and has the end id alone. Repeated rows are packed once each. A null
 key stays null. Extra columns are ignored, an empty table gives no rows.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,13 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import batch, binary, pieces, raw_text, saved
-from shelfcast.llm.tokens import ID, library_encoder
+from shelfcast.llm.common import batch, pieces, raw_text, saved
+from shelfcast.llm.piece_ids import piece_encoder
+from shelfcast.llm.tokens import ID
 
 SEQUENCE = 2048
-GROUP_ROWS = 8192
+#: Bounds of a group, which one task packs.
+GROUP_ROWS, GROUP_TOKENS = 1 << 15, 1 << 23
+#: Sequences filled to a smaller share are packed again with those of other groups.
+UNDERFILLED = 0.98
 #: Weights of tokens, documents and attention cost in the score.
-WEIGHTS = (1.0, 0.0, 0.01)
+WEIGHTS = (1.0, 0.05, 0.01)
 
 
 def best_fit(
@@ -83,12 +89,14 @@ def best_fit(
     return where, offset
 
 
-def cut(ids: bytes, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of one document."""
-    n = len(ids) // ID.itemsize
-    first = n % sequence or min(n, sequence)
-    edges = [0, *range(first, n + 1, sequence)] if n else [0]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def cut(sizes: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, number, start, length) of the pieces of documents of such sizes (one id or more)."""
+    count = -(-sizes // sequence)
+    doc = np.repeat(np.arange(len(sizes)), count)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    first = sizes - (count - 1) * sequence
+    start = np.where(number > 0, first[doc] + (number - 1) * sequence, 0)
+    return doc, number, start, np.where(number > 0, sequence, first[doc])
 
 
 PIECES = [
@@ -115,21 +123,23 @@ def token_pieces(
     pieces by task and place, which a repeated task numbers alike."""
     rows = docs.select(F.col(key).cast("long").alias("key"), raw_text(F.col(text)).alias("text"))
     schema = pa.schema([*PIECES, *([("ids", pa.binary())] if with_ids else [])])
-    end = np.array([end_id], dtype=ID).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer)
-        encode = encoder.text_ids
+        encoder = piece_encoder(tokenizer)
         slot = TaskContext.get().partitionId() << 40
         for b in pieces(batches, 1):
-            out = []
-            for k, body in zip(b.column(0).to_pylist(), binary(b.column(1))):
-                ids = encode(body) + end
-                for n, (start, length) in enumerate(cut(ids, sequence)):
-                    own = ids[ID.itemsize * start : ID.itemsize * (start + length)]
-                    out.append((k, n, start, length, zlib.crc32(own), slot, *([own] if with_ids else [])))
-                    slot += 1
-            yield batch(schema, *zip(*out))
+            ids, ends = encoder.encode(b.column(1))
+            ids = np.insert(ids, ends, end_id).astype(ID, copy=False)
+            ends = ends + np.arange(1, len(ends) + 1)
+            sizes = np.diff(ends, prepend=0)
+            doc, number, start, length = cut(sizes, sequence)
+            begin = (ends - sizes)[doc] + start
+            data = memoryview(ids).cast("B")
+            own = [data[ID.itemsize * lo : ID.itemsize * hi] for lo, hi in zip(begin.tolist(), (begin + length).tolist())]
+            columns = [b.column(0).take(pa.array(doc)), number.astype(np.int32), start, length, list(map(zlib.crc32, own))]
+            slots = slot + np.arange(len(doc))
+            slot += len(doc)
+            yield batch(schema, *columns, slots, *([[bytes(x) for x in own]] if with_ids else []))
         encoder.trim()
 
     return rows.mapInArrow(run, PIECES_DDL + ", ids binary" * with_ids)
@@ -138,24 +148,51 @@ def token_pieces(
 def pack(
     cut_pieces: DataFrame,
     group_rows: int = GROUP_ROWS,
+    group_tokens: int = GROUP_TOKENS,
     tokens: int = SEQUENCE,
     documents: int = SEQUENCE,
     cost: float = float(SEQUENCE) ** 2,
     weights: tuple[float, float, float] = WEIGHTS,
     score: str = "norm",
 ) -> DataFrame:
-    """The pieces with sequence_id and offset. Reads `cut_pieces` twice: pass a written table."""
-    groups = max(1, math.ceil(cut_pieces.count() / group_rows))
-    dealt = cut_pieces.withColumn("pack_group", F.pmod(F.xxhash64("slot"), F.lit(groups)))
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut_pieces.schema)
+    """The pieces with sequence_id and offset. Reads `cut_pieces` several times: pass a written table.
 
-    def run(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("slot", ignore_index=True)
-        where, offset = best_fit(group["length"].to_numpy(np.int64), tokens, documents, cost, weights, score)
-        group["sequence_id"], group["offset"] = keys[0] * (1 << 32) + where, offset
-        return group.drop(columns="pack_group")
+    Where there are several groups, the sequences that a group leaves underfilled are dissolved and
+    their pieces dealt to fewer groups, round after round, until one group is left or fewer groups
+    can't be had."""
+    names = cut_pieces.columns
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut_pieces.schema)
 
-    return dealt.groupBy("pack_group").applyInPandas(run, f"{ddl}, sequence_id long, offset long")
+    def groups_of(rows: DataFrame) -> int:
+        found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("t")).first()
+        return max(1, math.ceil(found["n"] / group_rows), math.ceil((found["t"] or 0) / group_tokens))
+
+    def packed(rows: DataFrame, groups: int, turn: int) -> DataFrame:
+        def run(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("slot", ignore_index=True)
+            where, offset = best_fit(group["length"].to_numpy(np.int64), tokens, documents, cost, weights, score)
+            group["sequence_id"] = (turn << 56) + (keys[0] << 28) + where
+            group["offset"] = offset
+            group["filled"] = np.bincount(where, group["length"])[where].astype(np.int64)
+            return group.drop(columns="pack_group")
+
+        dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64("slot", F.lit(turn)), F.lit(groups)))
+        return dealt.groupBy("pack_group").applyInPandas(run, f"{ddl}, sequence_id long, offset long, filled long")
+
+    groups, turn, done = groups_of(cut_pieces), 0, []
+    while groups > 1:
+        made = saved(packed(cut_pieces, groups, turn), "packed")
+        loose = made.filter(F.col("filled") < UNDERFILLED * tokens).select(*names)
+        fewer = groups_of(loose)
+        if fewer >= groups:
+            return _all([*done, made], names)
+        done.append(made.filter(F.col("filled") >= UNDERFILLED * tokens))
+        cut_pieces, groups, turn = loose, fewer, turn + 1
+    return _all([*done, packed(cut_pieces, 1, turn)], names)
+
+
+def _all(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [p.select(*names, "sequence_id", "offset") for p in parts])
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, with_ids: bool = False, **limits) -> DataFrame:

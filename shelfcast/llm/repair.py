@@ -1,8 +1,8 @@
 """Token-id shards under a Re-Pair grammar, written as Parquet and decoded at random positions.
 
 A shard holds about `shard_ids` ids of consecutive documents. Frequent pairs of neighbouring symbols
-are replaced by nonterminals, round after round, until no pair occurs `min_count` times or `rounds`
-are done; a round takes the most frequent pairs at once and resolves overlaps from the left. A shard
+are replaced by nonterminals, round after round, until no pair occurs `min_count` times; a round takes
+all frequent pairs at once, and of overlapping ones the more frequent. A shard
 stores its rules, their expansion lengths, the remaining sequence and the documents' lengths.
 Sums of expansion lengths tell where any position lies, so a range decodes only the symbols that
 cover it.
@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import KeyRanges, batch, binary, long_or_null, pieces, raw_text
-from shelfcast.llm.tokens import ID, library_encoder
+from shelfcast.llm.common import KeyRanges, batch, long_or_null, pieces, raw_text
+from shelfcast.llm.piece_ids import piece_encoder
+from shelfcast.llm.tokens import ID
 from shelfcast.session import scratch_folder
 
 SHARD_IDS = 1 << 20
-ROUNDS = 5
-WIDTH = 1024
 MIN_COUNT = 16
+#: Hash of a pair to a bucket; a bucket met less than `min_count` times holds no frequent pair.
+MIX, BUCKET_BITS = np.uint64(0x9E3779B97F4A7C15), 18
 #: Symbols below are token ids; nonterminals count from here.
 FIRST_RULE = 1 << 16
 
@@ -42,42 +43,72 @@ def smallest(values: np.ndarray) -> np.ndarray:
     return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
 
 
-def build_grammar(
-    ids: np.ndarray, first: int, rounds: int = ROUNDS, width: int = WIDTH, min_count: int = MIN_COUNT
-) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, rules): rule k has the symbol first + k and replaces the pair rules[k]."""
+def _places(sequence: np.ndarray, at: np.ndarray, symbols: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, places): of the pairs at the given places, those that occur `min_count` times
+    and, pair by pair, where. Of a run of one symbol every second place counts."""
+    bits = int(symbols).bit_length()
+    left, right = sequence[at].astype(np.uint64), sequence[at + 1].astype(np.uint64)
+    key = (left << np.uint64(bits)) | right
+    bucket = ((key * MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    often = np.bincount(bucket, minlength=1 << BUCKET_BITS) >= min_count  # other pairs can't be frequent
+    use = often[bucket]
+    runs = np.flatnonzero(left == right)
+    if len(runs):  # all places of a run are among those given, or none
+        first = np.concatenate([[True], np.diff(at[runs]) > 1])
+        start = np.maximum.accumulate(np.where(first, at[runs], 0))
+        use[runs[(at[runs] - start) % 2 == 1]] = False
+    key, at = key[use], at[use]
+    width = int(len(sequence)).bit_length()
+    if 2 * bits + width <= 64:
+        packed = np.sort((key << np.uint64(width)) | at.astype(np.uint64))
+        key, at = packed >> np.uint64(width), (packed & np.uint64((1 << width) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(edge, append=len(key))
+    kept = np.repeat(count >= min_count, count)
+    return key[edge[count >= min_count]], count[count >= min_count], at[kept]
+
+
+def build_grammar(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, rules): rule k has the symbol first + k and replaces the pair rules[k].
+
+    A round counts every pair of neighbours and ranks those that occur `min_count` times, the most
+    frequent first. A place is replaced where its pair ranks before those that overlap it; a pair
+    that keeps `min_count` places becomes a rule. The first in rank keeps all its places, so each
+    round makes a rule, until no pair occurs `min_count` times."""
     sequence, rules, following = ids.astype(np.int32), [], first
-    for _ in range(rounds):
-        if len(sequence) < 2:
+    open_places = np.arange(len(sequence) - 1)
+    while len(open_places):
+        keys, counts, places = _places(sequence, open_places, following, min_count)
+        if not len(keys):
             break
-        uses = np.bincount(sequence, minlength=following)
-        common = np.flatnonzero(uses >= min_count)
-        if len(common) > width:
-            common = np.sort(common[np.argsort(-uses[common], kind="stable")[:width]])
-        local = np.full(following, width, dtype=np.int32)
-        local[common] = np.arange(len(common), dtype=np.int32)
-        short = local[sequence]
-        key = short[:-1] * np.int32(width + 1) + short[1:]
-        pairs = np.bincount(key, minlength=(width + 1) ** 2).reshape(width + 1, width + 1)
-        pairs[width, :] = pairs[:, width] = 0
-        pairs = pairs.ravel()
-        chosen = np.flatnonzero(pairs >= min_count)
-        if not len(chosen):
-            break
-        chosen = chosen[np.argsort(-pairs[chosen], kind="stable")[:width]]
-        symbol = np.zeros((width + 1) ** 2, dtype=np.int32)
-        symbol[chosen] = following + np.arange(len(chosen), dtype=np.int32)
-        hit = symbol[key]
-        at = np.flatnonzero(hit)
-        run = np.ones(len(at), dtype=bool)
-        run[1:] = np.diff(at) > 1  # where a run of overlapping hits starts
-        start = np.maximum.accumulate(np.where(run, at, 0))
-        at = at[(at - start) % 2 == 0]
-        sequence[at] = hit[at]
+        rank = np.empty(len(keys), dtype=np.int32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(keys), dtype=np.int32)
+        pair = np.full(len(sequence) + 1, len(keys), dtype=np.int32)
+        pair[places + 1] = np.repeat(rank, counts)
+        at = np.flatnonzero((pair[1:-1] < pair[:-2]) & (pair[1:-1] < pair[2:]))
+        own = pair[at + 1]
+        good = np.bincount(own, minlength=len(keys)) >= min_count
+        symbol = (following - 1 + np.cumsum(good)).astype(np.int32)
+        at, own = at[good[own]], own[good[own]]
+        # only pairs with a new symbol, or frequent and not replaced, can be frequent from now on
+        may = pair[1:] < len(keys)
+        may[at] = False
+        may[:-1] |= sequence[1:] == sequence[:-1]
+        sequence[at] = symbol[own]
+        may[at] = may[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(sequence), dtype=bool)
         keep[at + 1] = False
-        sequence = sequence[keep]
-        rules.append(np.stack([common[chosen // (width + 1)], common[chosen % (width + 1)]], axis=1))
+        may[at + 1] = False
+        sequence, may = sequence[keep], may[keep]
+        open_places = np.flatnonzero(may[:-1])
+        ranked = np.empty(len(keys), dtype=np.uint64)
+        ranked[rank] = keys
+        bits = np.uint64(int(following).bit_length())
+        chosen = ranked[good]
+        rules.append(np.stack([chosen >> bits, chosen & np.uint64((1 << int(bits)) - 1)], axis=1).astype(np.int64))
         following += len(chosen)
     return sequence, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
 
@@ -147,26 +178,25 @@ def encoded(docs: DataFrame, ranges: KeyRanges, tokenizer: str, end_id: int, key
     """(part, key, ids): token ids of each row with the end id, as little-endian bytes."""
     rows = docs.select(F.col(key).cast("long").alias("key"), raw_text(F.col(text)).alias("text"))
     schema = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("ids", pa.binary())])
-    end = np.array([end_id], dtype=ID).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer)
-        encode = encoder.text_ids
+        encoder = piece_encoder(tokenizer)
         for b in pieces(batches, 1):
             part = ranges.of(*long_or_null(b.column(0)))
-            ids = [smallest_ids(encode(x) + end) for x in binary(b.column(1))]
-            yield batch(schema, pa.array(part), b.column(0), ids)
+            ids, ends = encoder.encode(b.column(1))
+            ids = np.insert(ids, ends, end_id)
+            ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+            yield batch(schema, pa.array(part), b.column(0), [smallest_ids(ids[i:j]) for i, j in zip([0, *ends], ends)])
         encoder.trim()
 
     return rows.mapInArrow(run, "part int, key long, ids binary")
 
 
-def smallest_ids(ids: bytes) -> bytes:
+def smallest_ids(values: np.ndarray) -> bytes:
     """Two bytes an id where all fit, marked by the first byte."""
-    values = np.frombuffer(ids, ID)
-    if len(values) and values.max() < 1 << 16:
+    if values.max() < 1 << 16:
         return b"\x02" + values.astype("<u2").tobytes()
-    return b"\x04" + ids
+    return b"\x04" + values.astype(ID).tobytes()
 
 
 def wide_ids(stored: bytes) -> np.ndarray:

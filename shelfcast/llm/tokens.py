@@ -17,9 +17,11 @@ from itertools import islice
 import numpy as np
 
 ID = np.dtype("<u4")
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Chunks that stay between tasks, those met first; an idle worker then holds little.
-KEPT_ENTRIES = 100_000
+KEPT_ENTRIES = 50_000
+#: Longer chunks aren't kept.
+CACHED_BYTES = 64
 #: ASCII signs that end a run of letters in both tokenizers and need no look at their neighbours.
 SIGNS = ".,;:!?#$%&*|"
 #: White space, widely taken, before a space: the space then is no cutting point.
@@ -56,15 +58,19 @@ class Chunks(dict):
         self.encode, self.encode_word, self.folds_case = encode, encode_word, folds_case
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        text = chunk.decode()
-        value = self._by_parts(chunk, text)
-        if value is None:
-            value = np.array(self.encode(text), dtype=ID).tobytes()
-        self[chunk] = value
+        value = np.array(self.value(chunk), dtype=ID).tobytes()
+        if len(chunk) <= CACHED_BYTES:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = value
         return value
 
+    def value(self, chunk: bytes) -> list[int]:
+        """The ids, not kept."""
+        text = chunk.decode()
+        found = self._by_parts(chunk, text)
+        return self.encode(text) if found is None else found
+
     def trim(self) -> None:
         """At the end of a task."""
         if len(self) > KEPT_ENTRIES:
@@ -72,20 +78,20 @@ class Chunks(dict):
             self.clear()
             self.update(kept)
 
-    def _by_parts(self, chunk: bytes, text: str) -> bytes | None:
+    def _by_parts(self, chunk: bytes, text: str) -> list[int] | None:
         """A run of letters and the signs after it are separate words in either tokenizer."""
         core = text.rstrip(SIGNS)
         if not core.removeprefix(" ").isalpha():
             return None
         if len(core) < len(text):
-            return self[core.encode()] + self[text[len(core) :].encode()]
+            return self.value(core.encode()) + self.value(text[len(core) :].encode())
         if self.folds_case:
             low = chunk.lower().decode() if chunk.isascii() else "".join(c.lower() for c in text)
             if not (low.isascii() or unicodedata.is_normalized("NFC", text) and low.isalpha() and unicodedata.is_normalized("NFC", low)):
                 return None
             if low != text:
-                return self[low.encode()]
-        return np.array(self.encode_word(text), dtype=ID).tobytes()
+                return self.value(low.encode())
+        return self.encode_word(text)
 
 
 class WordChunks(Chunks):

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfcast.llm import automaton, catalog, edit_counts, packing, repair
+from shelfcast.llm.piece_ids import ChunkTable, PieceEncoder, piece_encoder
 from shelfcast.llm.tokens import library_encoder, tokenizer_path
 
 WORD, BYTE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
+PIECES = {p: piece_encoder(p) for p in (WORD, BYTE)}
 TEXTS = st.text(
     alphabet=st.one_of(
         st.sampled_from("aabbthenréÉİΣς '’s.,!?#*\n\t   \x1c\x85-12½日😀é|<>"), st.characters(codec="utf-8", exclude_categories=["Cn", "Cs"])
@@ -42,6 +45,24 @@ def test_chunks_give_the_ids_of_the_whole_text(library, text):
         assert library_encoder(path).text_ids(text.encode()) == stored(ids_of(library, path, text))
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.one_of(TEXTS, st.sampled_from(["<|endoftext|>", "a <|ENDOFTEXT|> b", "it's,.!x  y\n\n z\nq\u00a0 r"])), max_size=8))
+def test_pieces_give_the_ids_of_each_text(library, texts):
+    for path in (WORD, BYTE):
+        ids, ends = PIECES[path].encode(pa.array(texts, pa.string()))
+        own = [ids[i:j].tolist() for i, j in zip([0, *ends.tolist()], ends.tolist())]
+        assert own == [ids_of(library, path, t) for t in texts]
+
+
+def test_full_tables_keep_giving_ids(library):
+    small = PieceEncoder(library_encoder(BYTE), [], ChunkTable(entries=40, kept=10, slot_bits=6))
+    for turn in range(30):
+        texts = [f"w{turn * k} and x{k} " * (k % 5) + "longer than fifteen bytes is " + "z" * k for k in range(1 + turn)]
+        ids, ends = small.encode(pa.array(texts, pa.large_string()))
+        assert ids.tolist() == [i for t in texts for i in ids_of(library, BYTE, t)] and len(ends) == len(texts)
+    assert small.table.size <= 40
+
+
 @settings(max_examples=400, deadline=None)
 @given(text=TEXTS)
 def test_automaton_spells_the_library_path(library, text):
@@ -127,6 +148,31 @@ def test_grammar_gives_back_any_range(ids, low, span):
     assert len(sequence) < len(values)
 
 
+def pair_counts(sequence):
+    """Places of each pair, none overlapping another of its kind."""
+    found, last = {}, {}
+    for p, pair in enumerate(zip(sequence, sequence[1:])):
+        if last.get(pair, -2) < p - 1:
+            found[pair], last[pair] = found.get(pair, 0) + 1, p
+    return found
+
+
+@settings(max_examples=150, deadline=None)
+@given(ids=st.lists(st.integers(0, 4), min_size=1, max_size=300), times=st.integers(1, 9), least=st.integers(2, 6))
+def test_no_frequent_pair_is_left(ids, times, least):
+    sequence, rules = repair.build_grammar(np.array(ids * times), 1 << 16, min_count=least)
+    assert max(pair_counts(sequence.tolist()).values(), default=0) < least
+    assert (rules < (1 << 16) + np.arange(len(rules))[:, None]).all()
+
+
+def test_a_repeated_passage_becomes_one_symbol():
+    rng = np.random.default_rng(3)
+    passage = rng.permutation(60_000)[:200]
+    text = np.concatenate([np.concatenate([passage, rng.integers(0, 60_000, 3)]) for _ in range(500)])
+    sequence, rules = repair.build_grammar(text, 1 << 16)
+    assert repair.rule_lengths(rules, 1 << 16).max() == 200 and len(sequence) == 500 * 4
+
+
 def test_op9_whole_table(spark, folder, library):
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     rows = catalog.op9_packing(spark, folder).collect()
@@ -166,6 +212,18 @@ def test_every_capacity_binds():
         packing.best_fit(np.array([21]), tokens=20)
 
 
+def test_groups_share_underfilled_sequences(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "0 as piece", "0L as start", "id % 40 + 1 as length", "0L as ids_crc32", "id as slot")
+    packed = packing.pack(rows, group_rows=64, tokens=100, documents=50, cost=1e4).collect()
+    total, bins = sum(r.length for r in packed), {}
+    for r in packed:
+        bins.setdefault(r.sequence_id, []).append(r)
+    assert len(packed) == 3000 and len(bins) <= total / 100 * 1.03 + 1
+    for own in bins.values():
+        ends = np.cumsum([r.length for r in sorted(own, key=lambda r: r.offset)]).tolist()
+        assert ends[-1] <= 100 and [0, *ends[:-1]] == sorted(r.offset for r in own)
+
+
 def test_packed_sequences_hold_the_ids(odd, library):
     packed = packing.pack_documents(odd, BYTE, with_ids=True)
     held = packing.sequences(packed).collect()
