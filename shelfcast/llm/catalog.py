@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import automaton, digest, edit_counts, langid, packing, quality, repair, simhash, vptree, warc
+from shelfcast.llm import (
+    automaton,
+    digest,
+    edit_counts,
+    filter_audit,
+    langid,
+    max_sketch,
+    packing,
+    quality,
+    repair,
+    retrieval_packing,
+    simhash,
+    vptree,
+    warc,
+)
 from shelfcast.llm.common import held_out, table
 from shelfcast.llm.tokens import tokenizer_path
 
@@ -109,6 +123,89 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("key", "doc_id")
 
 
+def op11_max_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    found = max_sketch.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+OP11_SQL = r"""
+with t as (
+  select doc_id, row_number() over () as rid,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                        lambda x : translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as terms
+  from documents),
+d as (select doc_id, rid, terms, len(terms) as n from t where len(terms) > 0),
+c as (select count(*) as docs, cast(sum(n) as hugeint) as total from d),
+f as (select rid, term, count(*) as tf from (select rid, unnest(terms) as term from d) group by all),
+h as (select term, count(*) as df from f group by term),
+q as (
+  select item_id, term, count(*) as times from (
+    select item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+           lambda x : translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) as term from benchmark)
+  group by all),
+s as (
+  select q.item_id, d.rid, d.doc_id,
+         sum(q.times * cast(floor(1000 * ln((2.0 * c.docs + 2) / (2.0 * h.df + 1))) as bigint)
+             * ((1000000000 * f.tf) // (1000 * f.tf + 12 * (75 + (25 * d.n * c.docs) // c.total)))) as score
+  from q join h using (term) join f using (term) join d using (rid) cross join c group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from r where rank <= 20
+"""
+
+
+def op12_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return retrieval_packing.pack_by_retrieval(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order of five filters by language."""
+    audit = filter_audit.FilterAudit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return audit.report()
+
+
+OP13_SQL = r"""
+with w as (
+  select doc_id, coalesce(text, '') as body, coalesce(lang, '') as part, row_number() over () as rid,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+d as (
+  select rid, part,
+         len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
+         100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * len(body) as c,
+         regexp_matches(body, '[#$%&*|]') as d,
+         coalesce(doc_id > min(doc_id) over (partition by body), false) as e,
+         doc_id in (select doc_id from labels where quality = 1) as good,
+         doc_id in (select doc_id from labels where toxic = 1) as toxic
+  from w),
+m as (
+  select part, good, toxic, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as fails, count(*) as n from d group by all),
+l(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (
+  select l1.letter || l2.letter || l3.letter || l4.letter || l5.letter as filter_order,
+         [l1.bit, l2.bit, l3.bit, l4.bit, l5.bit] as bits
+  from l l1, l l2, l l3, l l4, l l5 where l1.bit + l2.bit + l3.bit + l4.bit + l5.bit = 31
+    and l1.bit | l2.bit | l3.bit | l4.bit | l5.bit = 31),
+s as (
+  select filter_order, step, bits[step] as own, coalesce(list_sum(bits[1:step - 1]), 0)::int as before
+  from o, (select unnest(range(1, 6)) as step)),
+x as (
+  select p.part, s.filter_order, s.step, s.own,
+         sum(case when m.fails & (s.before + s.own) = 0 then n else 0 end) as kept,
+         sum(case when m.fails & s.own > 0 and m.fails & s.before = 0 then n else 0 end) as removed,
+         sum(case when m.fails & s.own > 0 and m.fails & s.before > 0 then n else 0 end) as redundant,
+         sum(case when m.fails = s.own then n else 0 end) as unique_fails,
+         sum(case when m.fails & s.own > 0 and m.fails & s.before = 0 and good then n else 0 end) as good_lost,
+         sum(case when m.fails & s.own > 0 and m.fails & s.before = 0 and toxic then n else 0 end) as toxic_lost
+  from s cross join (select distinct part from m) p join m on m.part = p.part group by all)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+       cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from x
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -122,9 +219,12 @@ QUERIES = {
         op8_quality,
         op9_packing,
         op10_bpe,
+        op11_max_sketches,
+        op12_retrieval_packing,
+        op13_filter_audit,
     )
 }
 
 #: The other operators' rows hang on hashes, learned models or tokenizer files; tests compare them
 #: with brute force.
-ORACLE = {"op4_nearest": OP4_SQL, "op7_warc": OP7_SQL}
+ORACLE = {"op4_nearest": OP4_SQL, "op7_warc": OP7_SQL, "op11_max_sketches": OP11_SQL, "op13_filter_audit": OP13_SQL}
