@@ -50,14 +50,14 @@ def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 OP4_SQL = """
 with v as (
-  select vec_id, cast(embedding as double[]) as e from embeddings
+  select vec_id, row_number() over () as rid, cast(embedding as double[]) as e from embeddings
   where vec_id is not null and len(list_filter(embedding, lambda x : x is null or not isfinite(x))) = 0
     and len(list_filter(embedding, lambda x : x <> 0)) > 0),
 d as (
-  select q.vec_id as query_id, c.vec_id as vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e),
+  select q.vec_id as query_id, q.rid, c.vec_id as vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e),
          lambda x : (x[2] - x[1]) * (x[2] - x[1])), lambda a, b : a + b)) as score
-  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
-r as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d)
+  from v q join v c on q.vec_id % 100 = 0 and q.rid <> c.rid and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by rid order by score, vec_id) as rank from d)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
 """
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,17 @@ class KeyRanges:
         return np.where(null, 0, np.searchsorted(self.cuts, keys, side="right")).astype(np.int32)
 
 
+def release() -> None:
+    """Return what a task has freed to the system: workers are reused, and would keep the peak of
+    every earlier stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `limit` bytes of the given column (one row at least)."""
     for b in batches:
@@ -99,14 +112,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20)
         edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield b.slice(lo, hi - lo)
+    release()
 
 
-def kept_rows(docs: DataFrame, text: str, accept: Callable[[bytes | None], bool]) -> DataFrame:
-    """The rows whose text, as UTF-8 bytes or None, is accepted; all columns pass as they are."""
+def kept_rows(docs: DataFrame, text: str, accept: Callable[[list[bytes | None]], Sequence[bool]]) -> DataFrame:
+    """The rows whose text, as UTF-8 bytes or None, is accepted; all columns pass as they are.
+    `accept` sees the texts of a piece at once."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, at):
-            yield b.filter(pa.array([accept(x) for x in binary(b.column(at))], pa.bool_()))
+        for b in pieces(batches, at, 2 << 20):
+            yield b.filter(pa.array(accept(binary(b.column(at))), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,13 @@ known: the mean of their log frequencies; then the next shorter ones, down to si
 has the sum over its words; the score is the posterior share of the best language.
 
 The sample: at most `sample_rows` rows of each language, those with the smallest hash of their key,
-and the model keeps the `words` most frequent words and `ngrams` n-grams of each length.
+one row of each key. The model keeps the `words` most frequent words and `ngrams` n-grams of each
+length, all of them where these are None, and leaves out what was seen less than `least_seen` times.
+
+Shares alone accept any long text, as its words all speak for the same language, however little. The
+stage `recognised` therefore also asks how well the text is known to its language: the mean, over
+the text's words, of 1 for a known word and for others the share of their n-grams of the longest
+lengths that the model holds.
 
 Rows: null text or a text without a letter is "und" with score 0. Ties go to the language that is
 first in order. With nothing to learn from, every row is "und". Repeated rows are predicted alike,
@@ -35,7 +41,12 @@ CACHE_ENTRIES = 100_000
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters, lower case. Signs that count as word characters without being letters
+    (fractions, superscripts, Roman numerals) part words."""
+    found = LETTERS.findall(text.lower())
+    if text.isascii():
+        return found
+    return [x for run in found for x in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -72,6 +83,19 @@ class LanguageModel:
                 return known
         return (0,)
 
+    def known_share(self, text: str | None) -> float:
+        """How well the text's words are known: 1 a known word, else the share of its 4- and 5-grams
+        that are; 0 without words."""
+        counts = Counter(words_of(text)) if text else Counter()
+        total = 0.0
+        for word, n in counts.items():
+            if word in self.places[0]:
+                total += n
+                continue
+            own = [(g, p) for order, p in ((5, self.places[1]), (4, self.places[2])) for g in grams(word, order)]
+            total += n * sum(g in p for g, p in own) / len(own) if own else 0.0
+        return total / max(1, counts.total())
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """One weighted sum of rows: a known word weighs its count, the n-grams of an unknown word
         share the word's."""
@@ -101,14 +125,31 @@ class LanguageModel:
         return self.langs[best], float(share[best] / share.sum())
 
 
+def _most_frequent(counted: DataFrame, words: int | None, ngrams: int | None) -> DataFrame:
+    """The most frequent items of each kind, ties in order of the items; all of a kind without limit.
+
+    How many items have each count tells the least count that stays and how many of its items do, so
+    only those are ordered."""
+    limit = F.when(F.col("kind") == 0, F.lit(words)).otherwise(F.lit(ngrams))
+    down = Window.partitionBy("kind").orderBy(F.desc("all")).rowsBetween(Window.unboundedPreceding, 0)
+    tally = counted.groupBy("kind", "all").agg(F.count(F.lit(1)).alias("n"))  # a row for each count
+    tally = tally.withColumn("room", limit - F.sum("n").over(down) + F.col("n")).filter("room is null or room > 0")
+    tally = tally.select("kind", "all", F.when(F.col("room") < F.col("n"), F.col("room")).alias("room"))
+    met = counted.join(tally, ["kind", "all"])
+    tied = Window.partitionBy("kind").orderBy("item")
+    some = met.filter("room is not null").withColumn("place", F.row_number().over(tied)).filter("place <= room")
+    return met.filter("room is null").select(*counted.columns).unionByName(some.select(*counted.columns))
+
+
 def learn(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
     sample_rows: int = 2000,
-    words: int = 60_000,
-    ngrams: int = 30_000,
+    words: int | None = 60_000,
+    ngrams: int | None = 30_000,
+    least_seen: int = 2,
 ) -> LanguageModel:
     """Learn from rows that aren't held out and have a language and a text."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
@@ -116,7 +157,10 @@ def learn(
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     picked = known.select("key", "lang").withColumn("n", F.row_number().over(order))
     picked = picked.filter(F.col("n") <= sample_rows).select("key").distinct()
-    sample = known.join(F.broadcast(picked), "key", "left_semi").select("lang", "text")  # bounded above
+    sample = known.join(F.broadcast(picked), "key", "left_semi")
+    # of a key's rows, that with the smallest digest: bounded by `sample_rows`, however often a key repeats
+    one = F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("row")
+    sample = sample.groupBy("key").agg(one).select("row.lang", "row.text")
     word_schema = pa.schema([("lang", pa.string()), ("item", pa.string()), ("n", pa.int64())])
     gram_schema = pa.schema([("kind", pa.int32()), *word_schema])
 
@@ -154,10 +198,8 @@ def learn(
     for r in totals:
         sums[r["kind"]][at[r["lang"]]] = r["n"]
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for x, i in at.items()]
-    whole = counted.groupBy("kind", "item").agg(F.sum("n").alias("all"), *each).filter(F.col("all") >= 2)
-    most = Window.partitionBy("kind").orderBy(F.desc("all"), "item")
-    limit = F.when(F.col("kind") == 0, words).otherwise(ngrams)
-    kept = whole.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= limit).toArrow()
+    whole = counted.groupBy("kind", "item").agg(F.sum("n").alias("all"), *each).filter(F.col("all") >= least_seen)
+    kept = _most_frequent(whole, words, ngrams).toArrow()
     kinds, items = kept["kind"].to_numpy(), kept["item"].to_pylist()
     rows = np.stack([kept[f"n{i}"].to_numpy() for i in at.values()], axis=1) if langs else np.zeros((0, 0))
     counts: list[dict[str, np.ndarray]] = [{} for _ in range(len(ORDERS) + 1)]
@@ -183,12 +225,23 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", *keep: C
     return rows.mapInArrow(run, schema)
 
 
-def recognised(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows with a language whose share is `least` or more, all columns as they are."""
+#: Least mean share of known words and long n-grams of a recognised text.
+LEAST_KNOWN = 0.5
+
+
+def recognised(
+    docs: DataFrame, model: LanguageModel, least: float = 0.5, known: float = LEAST_KNOWN, text: str = "text"
+) -> DataFrame:
+    """The rows with a language whose share is over `least`, in words of which a share of `known` or
+    more is known; all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def accept(body: bytes | None) -> bool:
-        lang, score = shared.value.predict(body.decode() if body else None)
-        return lang != UNKNOWN and score >= least
+    def accept(bodies: list[bytes | None]) -> list[bool]:
+        out = []
+        for body in bodies:
+            own = body.decode() if body else None
+            lang, score = shared.value.predict(own)
+            out.append(lang != UNKNOWN and score > least and shared.value.known_share(own) >= known)
+        return out
 
     return kept_rows(docs, text, accept)

@@ -7,7 +7,8 @@ of `components` squared). Isotonic regression on rows that the fit left out turn
 shares of label 1.
 
 Learning takes at most `sample_rows` labelled rows that aren't held out, those with the smallest hash
-of their key; 20,000 rows of about 25 numbers. Everything else covers all rows and whole texts.
+of their key, and one row of each key (that with the smallest digest of its text): 20,000 rows of
+about 25 numbers. Everything else covers all rows and whole texts.
 
 Rows: null and empty texts are scored by their (zero) statistics. Several labels of a key count by
 their mean (1 from one half on), null labels don't count. With no label, or one kind only, every
@@ -147,6 +148,9 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     known = known.withColumn("hash", F.xxhash64("key")).orderBy("hash", "key").limit(rows)
     texts = docs.select(F.col(key).alias("key"), raw_text(F.col(text)).alias("text"))
     met = texts.join(F.broadcast(known), "key")  # `rows` keys at most
+    # of a key's rows, that with the smallest digest: `rows` rows at most, however often a key repeats
+    own = F.min_by("text", F.xxhash64("text")).alias("text")
+    met = met.groupBy("key").agg(F.first("y").alias("y"), F.first("hash").alias("hash"), own)
     met = met.select("y", (F.pmod("hash", F.lit(4)) != 0).alias("fit"), "text")
     schema = pa.schema([("y", pa.float64()), ("fit", pa.bool_()), ("stats", pa.list_(pa.float64()))])
 
@@ -225,4 +229,8 @@ def scores(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str
 def accepted(docs: DataFrame, model: QualityModel, least: float = ACCEPTED, text: str = "text") -> DataFrame:
     """The rows that score `least` or more, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return kept_rows(docs, text, lambda body: bool(shared.value.score(statistics(body or b"")[None])[0] >= least))
+
+    def accept(bodies: list[bytes | None]) -> np.ndarray:
+        return shared.value.score(np.stack([statistics(x or b"") for x in bodies])) >= least
+
+    return kept_rows(docs, text, accept)

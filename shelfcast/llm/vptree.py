@@ -9,9 +9,11 @@ result is exact; larger values prune more and may lose neighbours (`recall` meas
 Queries meet shards in blocks of bounded size and each shard answers with k rows a query at most.
 
 Rows: vectors that are null, zero or hold a null or non-finite component take no part, nor do rows
-without an id. Vectors of different lengths are never neighbours. Of rows with one id, the smallest
-vector counts (arrays compare by their first different element). Equal distances go to the smaller
-id. A query with fewer than k candidates gets them all; an empty table gives no rows.
+without an id. Vectors of different lengths are never neighbours. Every row is a candidate and may be
+a query, also where ids repeat: a query leaves out one row of its own id and vector and finds all
+others, those of its id included. Rows alike in both are one entry that counts as many times. Equal
+distances go to the smaller id. A query with fewer than k candidates gets them all; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -39,10 +41,12 @@ def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Vectors in tree order; a node is (lo, hi, vantage, inner and outer bounds, children)."""
+    """Vectors in tree order; a node is (lo, hi, vantage, inner and outer bounds, children). An entry
+    stands for `copies` rows."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, copies: np.ndarray | None = None):
         self.ids, self.vectors, self.nodes = ids.copy(), vectors.copy(), []
+        self.copies = np.ones(len(ids), dtype=np.int64) if copies is None else copies.copy()
         self._build(0, len(ids), leaf)
 
     def _build(self, lo: int, hi: int, leaf: int) -> int:
@@ -56,7 +60,8 @@ class Tree:
         point = some[far]
         d = distances(some, point)
         order = np.argsort(d, kind="stable")
-        self.ids[lo:hi], self.vectors[lo:hi] = self.ids[lo:hi][order], self.vectors[lo:hi][order]
+        for held in (self.ids, self.vectors, self.copies):
+            held[lo:hi] = held[lo:hi][order]
         d, mid = d[order], (hi - lo) // 2
         near = self._build(lo, lo + mid, leaf)
         rest = self._build(lo + mid, hi, leaf)
@@ -64,7 +69,8 @@ class Tree:
         return at
 
     def search(self, query: np.ndarray, own: int, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, ids) of the k nearest that the search finds, nearest first."""
+        """(distances, ids) of the k nearest that the search finds, nearest first; one row of the
+        query's own id and vector stays out."""
         best_d, best = np.empty(0), np.empty(0, dtype=np.int64)  # distances and places so far
         waiting = [(0.0, 0)]
         while waiting:
@@ -75,7 +81,8 @@ class Tree:
             if len(node) == 2:
                 lo, hi = node
                 d = distances(self.vectors[lo:hi].astype(np.float64), query)
-                take = self.ids[lo:hi] != own
+                mine = (self.ids[lo:hi] == own) & (self.copies[lo:hi] == 1) & (d == 0)
+                take = ~mine
                 if len(best_d) == k:
                     take &= d <= best_d[-1]
                 d = np.concatenate([best_d, d[take]])
@@ -90,30 +97,33 @@ class Tree:
         squares = (self.vectors[best].astype(np.float64) - query) ** 2
         best_d = np.sqrt(np.cumsum(squares, axis=1)[:, -1]) if len(best) else best_d
         order = np.lexsort((self.ids[best], best_d))
-        return best_d[order], self.ids[best][order]
+        best_d, best = best_d[order], best[order]
+        times = np.minimum(self.copies[best] - ((self.ids[best] == own) & (best_d == 0)), k)
+        return np.repeat(best_d, times)[:k], np.repeat(self.ids[best], times)[:k]
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of the rows that take part, one for each id."""
+    """(id, v, copies) of the rows that take part."""
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     rows = rows.filter(F.col("id").isNotNull() & fine & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def build_index(rows: DataFrame, key: str, vector: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row for each shard: (shard, dim, tree). Every vector is in one tree."""
+    """One row for each shard: (shard, dim, tree). Every vector is in one tree; an id's vectors are
+    dealt apart."""
     parts = saved(usable(rows, key, vector), "vectors")
     shards = max(1, math.ceil(parts.count() / shard_rows))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
     dealt = dealt.withColumn("dim", F.size("v"))
 
     def tree(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
+        group = group.assign(at=group["v"].map(tuple)).sort_values(["id", "at"])
         vectors = np.stack(group["v"].to_list())
-        made = pickle.dumps(Tree(group["id"].to_numpy(np.int64), vectors), protocol=5)
-        return pd.DataFrame([(keys[0], keys[1], made)], columns=["shard", "dim", "tree"])
+        made = Tree(group["id"].to_numpy(np.int64), vectors, copies=group["copies"].to_numpy(np.int64))
+        return pd.DataFrame([(keys[0], keys[1], pickle.dumps(made, protocol=5))], columns=["shard", "dim", "tree"])
 
     return saved(
         dealt.groupBy("shard", "dim").applyInPandas(tree, "shard int, dim int, tree binary"), "trees"
@@ -133,8 +143,9 @@ def search(
     asked = usable(queries, key, vector).withColumn("dim", F.size("v"))
     asked = saved(asked, "queries")
     blocks = max(1, math.ceil(asked.count() / block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    packed = asked.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
+    own = F.struct("id", "v", F.xxhash64("v").alias("mark"), "copies")
+    packed = asked.groupBy("dim", "block").agg(F.sort_array(F.collect_list(own)).alias("rows"))
     # each block goes to every shard by number: with one length of vectors, `dim` alone is one join key
     last = index.agg(F.max("shard")).first()[0] or 0
     packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
@@ -147,13 +158,16 @@ def search(
             for r in rows:
                 query = np.array(r["v"], dtype=np.float64)
                 d, ids = tree.search(query, r["id"], k, relax)
-                out.append(pd.DataFrame({"query_id": r["id"], "vec_id": ids, "score": d}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
+                row = {"query_id": r["id"], "mark": r["mark"], "copies": r["copies"], "vec_id": ids, "score": d}
+                out.append(pd.DataFrame(row))
+        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "mark", "copies", "vec_id", "score"])
 
-    found = met.groupBy("cell").applyInPandas(answer, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ddl = "query_id long, mark long, copies long, vec_id long, score double"
+    found = met.groupBy("cell").applyInPandas(answer, ddl)
+    order = Window.partitionBy("query_id", "mark").orderBy("score", "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))  # alike queries, alike answers
+    return found.withColumn("_copy", again).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(
