@@ -37,7 +37,7 @@ from shelfcast.llm.common import batch, held_out, kept_rows, pieces, saved
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 50_000
 
 
 def words_of(text: str) -> list[str]:
@@ -71,9 +71,10 @@ class LanguageModel:
                 logs.append((rows - rows.mean(axis=1, keepdims=True)).astype(np.float32))
         self.logs = np.concatenate(logs)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.partly: dict[str, float] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
+        return {**self.__dict__, "cache": {}, "partly": {}}
 
     def backed_off(self, word: str) -> tuple[int, ...]:
         """Of a word that is not known: the rows of its longest n-grams of which any is."""
@@ -83,29 +84,47 @@ class LanguageModel:
                 return known
         return (0,)
 
+    def share_of_known_grams(self, word: str) -> float:
+        """Of a word's 4- and 5-grams."""
+        own = [g in places for order, places in zip(ORDERS[:2], self.places[1:3]) for g in grams(word, order)]
+        return sum(own) / len(own) if own else 0.0
+
     def known_share(self, text: str | None) -> float:
-        """How well the text's words are known: 1 a known word, else the share of its 4- and 5-grams
-        that are; 0 without words."""
-        counts = Counter(words_of(text)) if text else Counter()
+        """How well the text's words are known: 1 a known word, else the share of its long n-grams;
+        0 without words."""
+        return self._known_share(Counter(words_of(text)) if text else Counter())
+
+    def _known_share(self, counts: Counter) -> float:
+        words, partly = self.places[0], self.partly
+        if len(partly) > CACHE_ENTRIES:
+            partly.clear()
         total = 0.0
         for word, n in counts.items():
-            if word in self.places[0]:
+            if word in words:
                 total += n
                 continue
-            own = [(g, p) for order, p in ((5, self.places[1]), (4, self.places[2])) for g in grams(word, order)]
-            total += n * sum(g in p for g, p in own) / len(own) if own else 0.0
+            share = partly.get(word)
+            if share is None:
+                share = partly[word] = self.share_of_known_grams(word)
+            total += n * share
         return total / max(1, counts.total())
 
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """(language, share, known share) of one text."""
+        counts = Counter(words_of(text)) if text else Counter()
+        return *self._predict(counts), self._known_share(counts)
+
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self._predict(Counter(words_of(text)) if text else Counter())
+
+    def _predict(self, counts: Counter) -> tuple[str, float]:
         """One weighted sum of rows: a known word weighs its count, the n-grams of an unknown word
         share the word's."""
-        found = words_of(text) if text else []
-        if not found or not self.langs:
+        if not counts or not self.langs:
             return UNKNOWN, 0.0
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        counts = Counter(found)
         places = list(map(self.places[0].get, counts))
         weights: list[float] = list(counts.values())
         if None in places:
@@ -239,9 +258,8 @@ def recognised(
     def accept(bodies: list[bytes | None]) -> list[bool]:
         out = []
         for body in bodies:
-            own = body.decode() if body else None
-            lang, score = shared.value.predict(own)
-            out.append(lang != UNKNOWN and score > least and shared.value.known_share(own) >= known)
+            lang, score, share = shared.value.judge(body.decode() if body else None)
+            out.append(lang != UNKNOWN and score > least and share >= known)
         return out
 
     return kept_rows(docs, text, accept)
