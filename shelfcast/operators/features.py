@@ -62,7 +62,9 @@ def staged_sales(sales: DataFrame) -> DataFrame:
 # construction short.
 _BY_DAY = "over (partition by store_id, sku_id order by date)"
 _RUNNING = "over (partition by store_id, sku_id order by date rows between unbounded preceding and current row)"
-_TOTALS = ("_n", "_dev", "_zero")
+_TOTALS = ("_n", "_dev", "_zero", "_sq")
+# Whole numbers of 38 digits: products and sums of squares stay exact.
+_WIDE = "decimal(38,0)"
 
 
 def _lag_columns() -> list[str]:
@@ -75,11 +77,12 @@ def add_lags(df: DataFrame) -> DataFrame:
 
 
 def _with_totals(df: DataFrame) -> DataFrame:
-    """Running count, sum of the units less the series' first value, zero count.
+    """Running count, sum of the units less the series' first value, zero count, sum of squares.
 
     A moving frame is then the difference of two totals: constant work per row for any width,
     where a sliding frame would be summed again for each row. All totals are whole numbers, so
-    differences are exact. Deviations have no such totals and use plain frames.
+    differences are exact; squares are summed in 38 digits (units up to 1e17 in size; beyond that
+    the sum raises).
     """
     based = df.selectExpr("*", f"first_value(units_sold) {_RUNNING} as _base")
     return based.selectExpr(
@@ -87,22 +90,34 @@ def _with_totals(df: DataFrame) -> DataFrame:
         f"count(units_sold) {_RUNNING} as _n",
         f"sum(units_sold - _base) {_RUNNING} as _dev",
         f"count(case when units_sold = 0 then 1 end) {_RUNNING} as _zero",
+        f"sum({_wide('units_sold - _base')} * {_wide('units_sold - _base')}) {_RUNNING} as _sq",
     )
 
 
+def _wide(value: str) -> str:
+    return f"cast(cast({value} as decimal(19,0)) as {_WIDE})"
+
+
 def _frame(total: str, first: int, last: int) -> str:
     """Total over the rows `first` to `last` before the current one (first > last >= 1)."""
 
+    none = f"cast(0 as {_WIDE})" if total == "_sq" else "0"
+
     def before(k: int) -> str:
-        return f"coalesce(lag({total}, {k}) {_BY_DAY}, 0)"
+        return f"coalesce(lag({total}, {k}) {_BY_DAY}, {none})"
 
     return f"({before(last)} - {before(first + 1)})"
 
 
 def _rolling_frames() -> list[str]:
-    frames = [f"{_frame(c, n, 1)} as {c}{n}" for n in ROLLING for c in _TOTALS]
-    before = "partition by store_id, sku_id order by date rows between {} preceding and 1 preceding"
-    return frames + [f"stddev_samp(units_sold) over ({before.format(n)}) as _std{n}" for n in ROLLING]
+    return [f"{_frame(c, n, 1)} as {c}{n}" for n in ROLLING for c in _TOTALS]
+
+
+def _deviation(n: int) -> str:
+    """Sample deviation from exact sums: (n * squares - sum * sum) / (n * (n - 1)), by a double
+    only at the end."""
+    spread = f"cast(cast(_n{n} as {_WIDE}) * _sq{n} - {_wide(f'_dev{n}')} * {_wide(f'_dev{n}')} as double)"
+    return f"case when _n{n} > 1 then sqrt({spread} / (cast(_n{n} as double) * (_n{n} - 1))) end"
 
 
 def _mean(n: int | str) -> str:
@@ -114,7 +129,7 @@ def _rolling_columns() -> list[str]:
     for n in ROLLING:
         out += [
             f"case when _n{n} > 0 then {_mean(n)} end as rolling_mean_{n}",
-            f"_std{n} as rolling_std_{n}",
+            f"{_deviation(n)} as rolling_std_{n}",
             f"case when _n{n} > 0 then _zero{n} / _n{n} end as rolling_zero_rate_{n}",
         ]
     return out
