@@ -6,10 +6,11 @@ the metrics and the price fill work on per-key partial aggregates.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -91,30 +92,38 @@ def _plain_metrics(flagged: DataFrame, keys: list[str]) -> DataFrame:
     return _metric_row(per_key, total(F.col("nulls")), total(F.col("bad")), total(kept), zero)
 
 
+def _flagged(df: DataFrame, table: str) -> DataFrame:
+    """The cast rows with marks for null keys or values (`_null`) and invalid ones (`_bad`)."""
+    if table != "sales":
+        cast = cast_business(df, table)
+        return cast.withColumn("_null", any_null(cast.columns)).withColumn("_bad", F.lit(False))
+    cast = cast_business(df, "sales", keep=("_ingested_at",)).withColumn("store_id", F.lower("store_id"))
+    bad = F.coalesce(F.col("units_sold") < 0, F.lit(False))
+    return cast.withColumn("_null", any_null(schema_of("sales").fieldNames())).withColumn("_bad", bad)
+
+
+def _survivors(valid: DataFrame, table: str) -> DataFrame:
+    """One row per key. Sales keep the earliest load; loads of one run share a timestamp, so
+    remaining ties fall to the smallest row."""
+    names = schema_of(table).fieldNames()
+    if table != "sales":
+        return drop_duplicate_keys(valid.select(*names), table)
+    ties = [F.col(c).asc() for c in names if c not in KEYS["sales"]]
+    frame = first_per_key(valid, KEYS["sales"], [F.col("_ingested_at").asc_nulls_last(), *ties])
+    return frame.select(*names)
+
+
 def clean_dimension(df: DataFrame, table: str) -> Cleaned:
     """Stores, products and calendar: cast, every column required, one row per key."""
-    cast = cast_business(df, table)
-    flagged = cast.withColumn("_null", any_null(cast.columns)).withColumn("_bad", F.lit(False))
-    frame = drop_duplicate_keys(drop_required_nulls(cast, cast.columns), table)
-    return Cleaned(frame, _plain_metrics(flagged, KEYS[table]))
+    flagged = _flagged(df, table)
+    return Cleaned(_survivors(flagged.filter(~F.col("_null")), table), _plain_metrics(flagged, KEYS[table]))
 
 
 def clean_sales(df: DataFrame) -> Cleaned:
-    """Lower-case store ids, drop null and negative rows, keep the earliest load of each key.
-
-    Loads of one run share a timestamp, so remaining ties fall to the smallest row.
-    """
-    required = schema_of("sales").fieldNames()
-    cast = cast_business(df, "sales", keep=("_ingested_at",)).withColumn(
-        "store_id", F.lower("store_id")
-    )
-    flagged = cast.withColumn("_null", any_null(required)).withColumn(
-        "_bad", F.coalesce(F.col("units_sold") < 0, F.lit(False))
-    )
-    valid = drop_required_nulls(cast, required).filter(F.col("units_sold") >= 0)
-    ties = [F.col(c).asc() for c in required if c not in KEYS["sales"]]
-    frame = first_per_key(valid, KEYS["sales"], [F.col("_ingested_at").asc_nulls_last(), *ties])
-    return Cleaned(frame.select(*required), _plain_metrics(flagged, KEYS["sales"]))
+    """Lower-case store ids, drop null and negative rows, keep the earliest load of each key."""
+    flagged = _flagged(df, "sales")
+    valid = flagged.filter(~F.col("_null") & ~F.col("_bad"))
+    return Cleaned(_survivors(valid, "sales"), _plain_metrics(flagged, KEYS["sales"]))
 
 
 def _weekly_price_profile(cast: DataFrame) -> DataFrame:
@@ -142,11 +151,25 @@ def _weekly_price_profile(cast: DataFrame) -> DataFrame:
     return per_key.withColumn("carried", F.last("own_price", ignorenulls=True).over(earlier))
 
 
-def clean_prices(df: DataFrame) -> Cleaned:
-    """Lower-case store ids, drop rows with broken keys, carry the last price into unpriced rows,
-    drop what has no earlier price, keep one row per key."""
+def _price_cleaning(df: DataFrame, counting: Observation | None = None) -> tuple[DataFrame, DataFrame, dict[str, Column]]:
+    """(profile, cleaned frame, metric columns over the profile)."""
     cast = cast_business(df, "prices").withColumn("store_id", F.lower("store_id"))
     profile = _weekly_price_profile(cast)
+    fillable = F.col("carried").isNotNull()
+    unfilled = F.when(fillable, F.lit(0)).otherwise(F.col("unpriced"))
+    filled = F.when(fillable, F.col("unpriced")).otherwise(F.lit(0))
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    counts = {
+        "rows_in": total(F.col("n")),
+        "nulls_dropped": total(F.col("broken") + unfilled),
+        "invalid_dropped": total(F.lit(0)),
+        "imputations_applied": total(filled),
+    }
+    if counting is not None:
+        profile = profile.observe(counting, *[c.alias(n) for n, c in counts.items()])
     survivor = F.coalesce(
         F.col("priced_row"),
         F.when(
@@ -163,18 +186,61 @@ def clean_prices(df: DataFrame) -> Cleaned:
         .filter(F.col("row").isNotNull())
         .select(*KEYS["prices"], "row.price", "row.is_promo", "row.year")
     )
+    return profile, frame, counts
+
+
+def clean_prices(df: DataFrame) -> Cleaned:
+    """Lower-case store ids, drop rows with broken keys, carry the last price into unpriced rows,
+    drop what has no earlier price, keep one row per key."""
+    profile, frame, counts = _price_cleaning(df)
     fillable = F.col("carried").isNotNull()
-    unfilled = F.when(fillable, F.lit(0)).otherwise(F.col("unpriced"))
-    filled = F.when(fillable, F.col("unpriced")).otherwise(F.lit(0))
-    kept = (F.col("priced_row").isNotNull() | (fillable & (F.col("unpriced") > 0))).cast("long")
+    kept = F.col("priced_row").isNotNull() | (fillable & (F.col("unpriced") > 0))
+    survivors = F.coalesce(F.sum(kept.cast("long")), F.lit(0))
+    nulls, invalid, imputed = (counts[n] for n in ("nulls_dropped", "invalid_dropped", "imputations_applied"))
+    return Cleaned(frame, _metric_row(profile, nulls, invalid, survivors, imputed))
 
-    def total(c: Column) -> Column:
-        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
 
-    metrics = _metric_row(
-        profile, total(F.col("broken") + unfilled), F.lit(0).cast("long"), total(kept), total(filled)
+class CountedClean(NamedTuple):
+    """A cleaned frame whose own run counts the metrics: run one action on it, then ask."""
+
+    frame: DataFrame
+    before: Observation
+    after: Observation
+    source: DataFrame
+    table: str
+
+    def metrics(self) -> dict[str, int]:
+        """The counts of the action. Stages that ran twice, after a lost executor, count twice: the
+        row count, which file footers tell without a scan, shows it, and the metrics are then
+        taken by a job of their own."""
+        seen, kept = self.before.get, self.after.get
+        if seen["rows_in"] != self.source.count():
+            row = clean(self.source, self.table).metrics.first()
+            return {m: row[m] for m in METRICS}
+        out = {**seen, "rows_out": kept["rows_out"]}
+        out["dupes_dropped"] = out["rows_in"] - out["nulls_dropped"] - out["invalid_dropped"] - out["rows_out"]
+        return {m: out[m] for m in METRICS}
+
+
+def _after(frame: DataFrame, after: Observation) -> DataFrame:
+    return frame.observe(after, F.count(F.lit(1)).alias("rows_out"))
+
+
+def counted_clean(df: DataFrame, table: str) -> CountedClean:
+    """Cleaning that counts while it runs: the action that writes the frame is the only scan."""
+    before, after = Observation(f"{table}-before-{uuid.uuid4().hex}"), Observation(f"{table}-after-{uuid.uuid4().hex}")
+    if table == "prices":
+        _, frame, _ = _price_cleaning(df, before)
+        return CountedClean(_after(frame, after), before, after, df, table)
+    flagged = _flagged(df, table).observe(
+        before,
+        F.count(F.lit(1)).alias("rows_in"),
+        _count_if(F.col("_null")).alias("nulls_dropped"),
+        _count_if(~F.col("_null") & F.col("_bad")).alias("invalid_dropped"),
+        _count_if(F.lit(False)).alias("imputations_applied"),
     )
-    return Cleaned(frame, metrics)
+    frame = _survivors(flagged.filter(~F.col("_null") & ~F.col("_bad")), table)
+    return CountedClean(_after(frame, after), before, after, df, table)
 
 
 def fill_prices(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators import audit, quality
 from shelfcast.operators import features as gold
-from shelfcast.operators.clean import METRICS, clean
+from shelfcast.operators.clean import counted_clean
 from shelfcast.sources.layers import (
     Layer,
     check_identifier,
@@ -36,6 +36,16 @@ GOLD_TABLES = (
 )
 
 
+#: Tables that hold the keys and one feature family.
+PARTS = {
+    "features_lag": gold.LAG_COLUMNS,
+    "features_rolling": gold.ROLLING_COLUMNS,
+    "features_price": gold.PRICE_COLUMNS,
+    "features_promo": gold.PROMO_COLUMNS,
+    "features_seasonal": gold.SEASONAL_COLUMNS,
+}
+
+
 def _check(table: str, known: tuple[str, ...], mode: str) -> None:
     if table not in known:
         raise ValueError(f"unknown table: {table}")
@@ -74,7 +84,7 @@ class Bronze:
 
 
 class Silver:
-    """Bronze to Silver: clean, stamp, write. One job for the metrics, one for the table."""
+    """Bronze to Silver: clean, stamp, write. The writing job counts the metrics."""
 
     def __init__(self, bronze: Layer, layer: Layer) -> None:
         self.bronze, self.layer = bronze, layer
@@ -83,11 +93,10 @@ class Silver:
         _check(table, TABLES, mode)
         started, run_id = time.monotonic(), run_id or uuid.uuid4().hex
         source = self.bronze.read(table)
-        cleaned = clean(source, table)
+        cleaned = counted_clean(source, table)
         self.layer.write(stamp_silver(cleaned.frame, source, run_id), table, mode, PARTITIONS[table])
-        counts = cleaned.metrics.first()
         return {
-            **{m: counts[m] for m in METRICS},
+            **cleaned.metrics(),
             "bronze_location": self.bronze.path(table),
             "silver_location": self.layer.path(table),
             "silver_run_id": run_id,
@@ -144,10 +153,17 @@ class Gold:
             return gold.add_prices(staged, prices).select(*SERIES_DAY, *gold.PRICE_COLUMNS)
         return gold.features_master(staged, prices, self.silver.read("calendar"))
 
-    def build(self, table: str, mode: str = "overwrite", run_id: str | None = None) -> dict[str, Any]:
+    def _part(self, table: str) -> DataFrame:
+        """A feature table as columns of the master built just before."""
+        return self.layer.read("features_master").select(*SERIES_DAY, *PARTS[table])
+
+    def build(
+        self, table: str, mode: str = "overwrite", run_id: str | None = None, from_master: bool = False
+    ) -> dict[str, Any]:
         _check(table, GOLD_TABLES, mode)
         started, run_id = time.monotonic(), run_id or uuid.uuid4().hex
-        out = with_year_month(self.frame(table)).withColumn("_gold_run_id", F.lit(run_id))
+        frame = self._part(table) if from_master else self.frame(table)
+        out = with_year_month(frame).withColumn("_gold_run_id", F.lit(run_id))
         dated = "year" in out.columns and "month" in out.columns
         self.layer.write(out, table, mode, ["year", "month"] if dated else None)
         return {
@@ -158,8 +174,13 @@ class Gold:
         }
 
     def build_all(self, mode: str = "overwrite", check: bool = False) -> dict[str, dict[str, Any]]:
-        run_id = uuid.uuid4().hex
-        out = {t: self.build(t, mode, run_id) for t in GOLD_TABLES}
+        """All tables. Windows run once, for the master; the feature tables are columns of it, but for
+        those that have a template."""
+        run_id, made = uuid.uuid4().hex, {}
+        parts = [t for t in PARTS if t not in self.templates and mode == "overwrite"]
+        for table in sorted(GOLD_TABLES, key=lambda t: t in parts):
+            made[table] = self.build(table, mode, run_id, from_master=table in parts)
+        out = {t: made[t] for t in GOLD_TABLES}
         if check:
             audit.require_clean_audit(self.audit())
         return out

@@ -1,8 +1,11 @@
+import re
+from types import SimpleNamespace
+
 import pytest
 from helpers import DAY, day
 from pyspark.sql import functions as F
 
-from shelfcast.operators import quality
+from shelfcast.operators import clean, quality
 from shelfcast.operators.profile import calendar
 from shelfcast.plans.medallion import GOLD_TABLES, Bronze, Gold, Silver
 from shelfcast.sources import raw
@@ -90,3 +93,73 @@ def test_unknown_names(layers):
         with pytest.raises(ValueError):
             getattr(layer, call)("sales" if call == "ingest" else "features_lag", "upsert")
     assert DAY > 0
+
+
+def plan_text(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cleaning_counts_while_it_writes(spark, layers, monkeypatch):
+    """The metrics of the writing job equal those of a job of their own, which isn't run."""
+    bronze, silver, _ = layers
+    bronze.ingest_all()
+    asked = {t: clean.clean(bronze.layer.read(t), t).metrics.first().asDict() for t in TABLES}
+    monkeypatch.setattr(clean, "clean", lambda *a: pytest.fail("a second pass over Bronze"))
+    for table in TABLES:
+        built = silver.build(table)
+        assert {m: built[m] for m in clean.METRICS} == asked[table]
+
+
+def test_counts_of_a_repeated_stage_are_taken_again(spark, layers):
+    bronze, _, _ = layers
+    counted = clean.counted_clean(bronze.layer.read("sales"), "sales")
+    counted.frame.write.format("noop").mode("overwrite").save()
+    right = counted.metrics()
+    doubled = SimpleNamespace(get={m: 2 * v for m, v in counted.before.get.items()})
+    assert counted._replace(before=doubled).metrics() == right
+
+
+def test_cleaning_scans_bronze_once(layers):
+    bronze, _, _ = layers
+    for table in TABLES:
+        plan = plan_text(clean.counted_clean(bronze.layer.read(table), table).frame)
+        assert plan.count("Relation [") == 1, plan
+
+
+def test_feature_tables_are_columns_of_the_master(layers, monkeypatch):
+    """One window pass: only the master's frame holds windows."""
+    _, silver, gold = layers
+    silver.build_all()
+    plans = {}
+    write = type(gold.layer).write
+
+    def watched(self, df, table, *rest):
+        plans[table] = df._jdf.queryExecution().optimizedPlan().toString()
+        write(self, df, table, *rest)
+
+    monkeypatch.setattr(type(gold.layer), "write", watched)
+    made = gold.build_all()
+    assert list(made) == list(GOLD_TABLES)
+    by_series = {t for t, p in plans.items() if "Window [" in p and "store_id" in p}
+    assert by_series == {"features_master"}
+    single = Gold(silver.layer, Layer(gold.layer.spark, gold.layer.root + "_single"))
+    for table in GOLD_TABLES:
+        single.build(table)
+        a, b = (x.read(table).drop("_gold_run_id") for x in (gold.layer, single.layer))
+        b = b.select(*a.columns)
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+def test_checks_read_each_table_once(spark, layers):
+    """Five key profiles: every further use of a profile is the same exchange."""
+    _, silver, _ = layers
+    silver.build_all()
+    result = silver.checks()
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    scanned = re.findall(r"FileScan parquet \[[^\]]*\][^\n]*Location: [^\n]*?/silver/(\w+)\]", final)
+    reused = final.count("ReusedExchange")
+    assert result.count() == 15
+    assert all(scanned.count(t) <= 1 for t in TABLES) or reused >= 5, final
