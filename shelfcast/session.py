@@ -54,6 +54,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/shelfcast-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows below the scratch folder as Parquet and read them from there: lineage ends
+    here, and later readers prune columns and know the size."""
+    path = f"{scratch_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder once and read them from there afterwards.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.dates import DAY_NS, as_ns
 from shelfcast.operators.profile import calendar as calendar_dimension
-from shelfcast.session import freeze
+from shelfcast.session import saved
 from shelfcast.sources.schemas import SERIES
 
 
@@ -74,7 +74,7 @@ class DriverTables:
         """The same tables with the daily aggregate written to the checkpoint folder, for queries
         that read sales or prices more than once: the order lines are then scanned once."""
         other = DriverTables(self.spark, self.folder)
-        other._tables, other._daily = self._tables, freeze(self.daily())
+        other._tables, other._daily = self._tables, saved(self.daily(), "daily")
         return other
 
     def sales(self) -> DataFrame:
