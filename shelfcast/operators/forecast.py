@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.operators import labels
 from shelfcast.operators.audit import LABEL
+from shelfcast.operators.boosting import BoostedCounts, fit_boosted_counts
 from shelfcast.sources.schemas import SERIES_DAY
 
 BASELINES = ("naive", "seasonal_naive", "moving_average")
@@ -50,70 +52,45 @@ def all_baselines(fallback: Column) -> Column:
     )
 
 
-def design_matrix(
-    df: DataFrame, features: list[str], categorical: list[str], buckets: int = 512, blank: float = -1.0
-) -> DataFrame:
-    """Assemble a feature vector. Categories are hashed into `buckets`, so no label dictionary of
-    a high-cardinality key is built on the driver; nulls become `blank`."""
-    encoded = {
-        f"_x_{c}": (
-            F.pmod(F.xxhash64(c), F.lit(buckets)).cast("double")
-            if c in categorical
-            else F.coalesce(F.col(c).cast("double"), F.lit(blank))
-        )
-        for c in features
-    }
-    return VectorAssembler(inputCols=list(encoded), outputCol="features").transform(
-        df.withColumns(encoded)
-    ).drop(*encoded)
-
-
-def fit_boosted_trees(
-    train: DataFrame,
-    valid: DataFrame,
-    features: list[str],
-    categorical: list[str],
-    max_iter: int = 40,
-    max_depth: int = 5,
-    step: float = 0.1,
-    seed: int = 42,
-):
-    """Gradient-boosted trees that stop early on the validation rows."""
-    rows = train.withColumn("_held", F.lit(False)).unionByName(valid.withColumn("_held", F.lit(True)))
-    matrix = design_matrix(rows, features, categorical).select(
-        "features", F.col(LABEL).cast("double").alias("label"), "_held"
-    )
-    learner = GBTRegressor(
-        maxIter=max_iter,
-        maxDepth=max_depth,
-        stepSize=step,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        validationIndicatorCol="_held",
-        seed=seed,
-        checkpointInterval=10,
-        cacheNodeIds=True,
-    )
-    return learner.fit(matrix)
+def number_of(column: str) -> str:
+    return f"number_of_{column}"
 
 
-def fit_poisson(train: DataFrame, features: list[str], reg: float = 0.1):
-    """Poisson regression on the numeric features (the count objective trees lack here)."""
-    matrix = design_matrix(train, features, [], blank=0.0).select(
-        "features", F.col(LABEL).cast("double").alias("label")
-    )
+def number_categories(df: DataFrame, categorical: list[str]) -> DataFrame:
+    """Adds `number_of_<column>`: each label's own number, whatever their count."""
+    for c in categorical:
+        df = labels.with_label_number(df, c, labels.label_index(df, c), number_of(c))
+    return df
+
+
+def encode_categories(
+    numbered: DataFrame, columns: list[str], categorical: list[str], train_end: int, label: str = LABEL
+) -> tuple[DataFrame, list[str]]:
+    """The frame and its feature columns, all numeric: a category enters as the mean label of its
+    earlier training days."""
+    out = labels.ordered_target_means(numbered, [number_of(c) for c in categorical], label, train_end)
+    return out, [c if c not in categorical else f"mean_of_{number_of(c)}" for c in columns]
+
+
+def fit_boosted_trees(train: DataFrame, valid: DataFrame, features: list[str], label: str = LABEL, **params) -> BoostedCounts:
+    """Boosted trees on the Poisson objective that stop early on the validation rows."""
+    return fit_boosted_counts(train, valid, features, label, row_key=SERIES_DAY, **params)
+
+
+def _vector(df: DataFrame, features: list[str], blank: float) -> DataFrame:
+    filled = {f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(blank)) for c in features}
+    return VectorAssembler(inputCols=list(filled), outputCol="features").transform(df.withColumns(filled)).drop(*filled)
+
+
+def fit_poisson(train: DataFrame, features: list[str], reg: float = 0.1, label: str = LABEL):
+    """Poisson regression on numeric features; nulls count as 0."""
+    matrix = _vector(train, features, 0.0).select("features", F.col(label).cast("double").alias("label"))
     return GeneralizedLinearRegression(family="poisson", link="log", regParam=reg, maxIter=25).fit(matrix)
 
 
-def predict_learned(
-    model, df: DataFrame, features: list[str], categorical: list[str], blank: float = -1.0
-) -> DataFrame:
+def predict_learned(model, df: DataFrame, features: list[str]) -> DataFrame:
     """Add y_pred, never below zero."""
-    scored = model.transform(design_matrix(df, features, categorical, blank=blank))
+    if isinstance(model, BoostedCounts):
+        return model.predict(df)
+    scored = model.transform(_vector(df, features, 0.0))
     return scored.withColumn("y_pred", F.greatest("prediction", F.lit(0.0))).drop("features", "prediction")
-
-
-def importances(model, features: list[str]) -> list[tuple[str, float]]:
-    """Gain importances, largest first."""
-    pairs = zip(features, model.featureImportances.toArray().tolist(), strict=True)
-    return sorted(pairs, key=lambda p: -p[1])

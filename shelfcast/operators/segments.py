@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfcast.functions.dates import week_start
 from shelfcast.functions.errors import EPSILON, SCORES, bias_mean, mae, rmse, score_columns, smape, wape
@@ -200,9 +201,25 @@ def _metric_names() -> list[str]:
     return ["n_rows", "mean_actual", "mae", "rmse", "wape", "smape", "bias"]
 
 
-def heatmap(report: DataFrame, x: str, y: str, values: list[str], metric: str = "wape") -> DataFrame:
-    """Metric grid: one row per y, one column per given x value."""
-    return report.groupBy(y).pivot(x, values).agg(F.first(metric, ignorenulls=True))
+#: Columns that a grid may have.
+MOST_COLUMNS = 200
+
+
+def heatmap(
+    report: DataFrame, x: str, y: str, values: list[str] | None = None, metric: str = "wape", most: int = MOST_COLUMNS
+) -> DataFrame:
+    """Metric grid: one row per y, one column per x value, in order. Values are found in the report
+    unless given; more than `most` raise, none is dropped. A null x is the column `null`."""
+    if values is None:
+        found = report.select(x).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{x} has more than {most} values")
+        values = sorted((r[x] for r in found), key=lambda v: (v is None, v))
+    cell = [
+        F.first(F.when(F.col(x).eqNullSafe(F.lit(v)), F.col(metric)), ignorenulls=True).alias("null" if v is None else str(v))
+        for v in values
+    ]
+    return report.groupBy(y).agg(*cell) if cell else report.select(y).distinct()
 
 
 def train_volume_tiers(train: DataFrame, label: str = LABEL) -> DataFrame:
@@ -229,11 +246,23 @@ SEGMENT_LOG = {"category": 5, "store_type": 3, "volume_tier": None}
 def segment_metric_log(scored: DataFrame, train: DataFrame) -> DataFrame:
     """Scores of the top 5 categories, top 3 store types and all volume tiers as
     (segment, value, metric, score) rows."""
-    rows = scored.join(train_volume_tiers(train), SERIES, "left")
+    return _segment_log(scored.join(train_volume_tiers(train), SERIES, "left"), [])
+
+
+def fold_segment_log(scored: DataFrame, trains: dict[int, DataFrame]) -> DataFrame:
+    """The log of each (fold_id, model); volume tiers are those of the fold's training rows."""
+    tiers = None
+    for fold_id, train in trains.items():
+        own = train_volume_tiers(train).withColumn("fold_id", F.lit(fold_id))
+        tiers = own if tiers is None else tiers.unionByName(own)
+    return _segment_log(scored.join(tiers, [*SERIES, "fold_id"], "left"), ["fold_id", "model"])
+
+
+def _segment_log(rows: DataFrame, by: list[str]) -> DataFrame:
     limits = {c: n for c, n in SEGMENT_LOG.items() if c in rows.columns}
     columns = list(limits)
     grouped = freeze(
-        rows.groupingSets([[F.col(c)] for c in columns], *columns).agg(
+        rows.groupingSets([[*map(F.col, by), F.col(c)] for c in columns], *by, *columns).agg(
             F.grouping_id().alias("_gid"), F.sum("y_true").alias("_total"), *score_columns()
         )
     )
@@ -242,9 +271,8 @@ def segment_metric_log(scored: DataFrame, train: DataFrame) -> DataFrame:
         bits = (1 << len(columns)) - 1 - (1 << (len(columns) - 1 - i))
         part = grouped.filter((F.col("_gid") == bits) & F.col(column).isNotNull())
         if n is not None:
-            part = part.orderBy(F.col("_total").desc(), F.col(column).asc()).limit(n)
-        part = part.select(
-            F.lit(column).alias("segment"), F.col(column).cast("string").alias("value"), *SCORES
-        )
+            largest = Window.partitionBy(*by).orderBy(F.col("_total").desc(), F.col(column).asc())
+            part = part.withColumn("_nth", F.row_number().over(largest)).filter(F.col("_nth") <= n)
+        part = part.select(*by, F.lit(column).alias("segment"), F.col(column).cast("string").alias("value"), *SCORES)
         out = part if out is None else out.unionByName(part)
-    return out.unpivot(["segment", "value"], list(SCORES), "metric", "score")
+    return out.unpivot([*by, "segment", "value"], list(SCORES), "metric", "score")

@@ -130,15 +130,16 @@ def test_compare_models(spark):
 
 
 def test_learned_models_never_predict_below_zero(panel):
-    features = ["store_id", "sku_id", "lag_1_units", "lag_7_units"]
-    train, val = panel.filter(F.col("date") < day(70)), panel.filter(F.col("date") >= day(70))
-    model = forecast.fit_boosted_trees(train, val, features, ["store_id", "sku_id"], max_iter=2, max_depth=2)
-    out = forecast.predict_learned(model, val, features, ["store_id", "sku_id"])
+    numbered = forecast.number_categories(panel, ["store_id", "sku_id"])
+    encoded, features = forecast.encode_categories(numbered, ["store_id", "sku_id", "lag_1_units", "lag_7_units"], ["store_id", "sku_id"], day(69))
+    assert features == ["mean_of_number_of_store_id", "mean_of_number_of_sku_id", "lag_1_units", "lag_7_units"]
+    train, val = encoded.filter(F.col("date") < day(70)), encoded.filter(F.col("date") >= day(70))
+    model = forecast.fit_boosted_trees(train, val, features, max_iter=2, max_depth=2)
+    out = forecast.predict_learned(model, val, features)
     assert out.agg(F.min("y_pred")).first()[0] >= 0.0 and out.count() == val.count()
-    assert len(forecast.importances(model, features)) == 4
-    poisson = forecast.fit_poisson(train, ["lag_1_units"])
-    scored = forecast.predict_learned(poisson, val, ["lag_1_units"], [], blank=0.0)
-    assert scored.agg(F.min("y_pred")).first()[0] > 0.0
+    assert len(model.importances()) == 4
+    poisson = forecast.fit_poisson(train, features)
+    assert forecast.predict_learned(poisson, val, features).agg(F.min("y_pred")).first()[0] > 0.0
 
 
 def test_poisson_steps_give_mean_and_variance_one():

@@ -115,3 +115,14 @@ def test_segment_log(spark):
     kinds = {r.segment: r["count"] for r in got.groupBy("segment").count().collect()}
     assert kinds == {"category": 5, "store_type": 1, "volume_tier": 3}
     assert {r.value for r in got.filter("segment = 'category'").collect()} == {f"c{i}" for i in range(2, 7)}
+
+
+def test_heatmap_finds_its_columns(spark):
+    report = spark.createDataFrame([("c1", t, float(i)) for i, t in enumerate(["A", "B", "C", "D", None])] + [("c2", "D", 9.0)], "category string, store_type string, wape double")
+    got = segments.heatmap(report, "store_type", "category")
+    assert got.columns == ["category", "A", "B", "C", "D", "null"]
+    assert sorted(map(tuple, got.collect())) == [("c1", 0.0, 1.0, 2.0, 3.0, 4.0), ("c2", None, None, None, 9.0, None)]
+    assert segments.heatmap(report, "store_type", "category", ["D"]).columns == ["category", "D"]
+    with pytest.raises(ValueError, match="more than 3"):
+        segments.heatmap(report, "store_type", "category", most=3)
+    assert segments.heatmap(report.limit(0), "store_type", "category").count() == 0
