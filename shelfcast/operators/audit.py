@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfcast.operators.features import LAGS, ROLLING
-from shelfcast.session import freeze
+from shelfcast.session import saved
 from shelfcast.sources.raw import seeded_sample
 from shelfcast.sources.schemas import SERIES, SERIES_DAY
 
@@ -43,16 +43,16 @@ def audit_master(
     """Compare a seeded sample of the master table with recomputed lag, rolling and price columns.
 
     One row per feature: passes, sample_size_checked, mismatches. Only the sampled series are
-    recomputed (their keys, at most `sample_size`, are broadcast) and all features are compared in
-    one aggregate.
+    recomputed (their keys are written, so that Spark knows whether they can be broadcast) and all
+    features are compared in one aggregate.
     """
     names = [f"lag_{n}_units" for n in LAGS]
     names += [f"rolling_{k}_{n}" for n in ROLLING for k in ("mean", "std", "zero_rate")]
     price_names = ["current_price", "price_week_start"]
-    sample = freeze(
-        seeded_sample(master.select(*SERIES_DAY, *names, *price_names), SERIES_DAY, sample_size)
+    sample = saved(
+        seeded_sample(master.select(*SERIES_DAY, *names, *price_names), SERIES_DAY, sample_size), "audit-sample"
     )
-    touched = F.broadcast(sample.select(*SERIES).distinct())
+    touched = saved(sample.select(*SERIES).distinct(), "audit-series")
     expected = _expected(sales.join(touched, SERIES, "left_semi"))
     prices = priced.join(touched, SERIES, "left_semi").select(
         *SERIES_DAY, *[F.col(n).alias(f"expected_{n}") for n in price_names]

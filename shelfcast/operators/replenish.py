@@ -91,14 +91,26 @@ def recent_history(actuals: DataFrame, preds: DataFrame, rows: int = HISTORY_ROW
     )
 
 
-def demand_signals(preds: DataFrame, actuals: DataFrame, lead_time_days: int = 7) -> DataFrame:
+def demand_signals(
+    preds: DataFrame,
+    actuals: DataFrame,
+    lead_time_days: int = 7,
+    window: int = ROLLING_ROWS,
+    season: int = ROLLING_ROWS,
+    history: int = HISTORY_ROWS,
+) -> DataFrame:
     """History tail and forecast days of each series with the mean demand every policy kind sees.
 
-    rolling: mean of the last 7 actual rows; seasonal: the 7th last, else rolling; ml: mean
-    forecast of today and the lead time ahead, cut at the end. `in_horizon` marks forecast days.
+    rolling: mean of the last `window` actual rows; seasonal: the `season`th last, else rolling; ml:
+    mean forecast of today and the lead time ahead, cut at the end. `in_horizon` marks forecast days.
+    `history` rows before the horizon are read, and as many more as the window or season asks for;
+    `in_history` marks the former.
     """
     check_lead_time(lead_time_days)
-    tail = recent_history(actuals, preds).withColumns(
+    for name, value in (("window", window), ("season", season), ("history", history)):
+        if value <= 0:
+            raise ValueError(f"{name} must be positive")
+    tail = recent_history(actuals, preds, max(history, window, season)).withColumns(
         {"y_pred": F.lit(None).cast("double"), "in_horizon": F.lit(False)}
     )
     days = preds.select(
@@ -109,12 +121,14 @@ def demand_signals(preds: DataFrame, actuals: DataFrame, lead_time_days: int = 7
         F.lit(True).alias("in_horizon"),
     )
     w = Window.partitionBy(*SERIES).orderBy("date")
-    rolling = F.coalesce(F.avg("y_true").over(w.rowsBetween(-ROLLING_ROWS, -1)), F.lit(0.0))
+    rolling = F.coalesce(F.avg("y_true").over(w.rowsBetween(-window, -1)), F.lit(0.0))
+    newest = F.row_number().over(Window.partitionBy(*SERIES, "in_horizon").orderBy(F.col("date").desc()))
     return tail.unionByName(days).withColumns(
         {
             "rolling_mean": rolling,
-            "seasonal_naive": F.coalesce(F.lag("y_true", ROLLING_ROWS).over(w), rolling),
+            "seasonal_naive": F.coalesce(F.lag("y_true", season).over(w), rolling),
             "ml": F.avg("y_pred").over(w.rowsBetween(0, lead_time_days - 1)),
+            "in_history": ~F.col("in_horizon") & (newest <= history if history < max(window, season) else F.lit(True)),
         }
     )
 
@@ -129,7 +143,7 @@ def gather_series(signals: DataFrame, initial_stock_days: int = 14) -> DataFrame
     inside = F.col("in_horizon")
     fields = ("date", "y_true", "y_pred", "rolling_mean", "seasonal_naive", "ml")
     mean = F.coalesce(
-        F.avg(F.when(~inside, F.col("y_true"))), F.avg(F.when(inside, F.col("y_true"))), F.lit(0.0)
+        F.avg(F.when(F.col("in_history"), F.col("y_true"))), F.avg(F.when(inside, F.col("y_true"))), F.lit(0.0)
     )
     error = F.when(inside, F.col("y_true") - F.col("y_pred"))
     grouped = signals.groupBy(*SERIES).agg(
@@ -155,7 +169,8 @@ def with_policies(series: DataFrame, policies: tuple[Policy, ...]) -> DataFrame:
     return series.select("*", F.inline(F.array(*rows)))
 
 
-def _signal(day: Column) -> Column:
+def policy_mean(day: Column) -> Column:
+    """The mean demand that a policy's kind sees on a day."""
     kind = F.col("kind")
     return (
         F.when(kind == "rolling_mean", day["rolling_mean"])
@@ -190,7 +205,7 @@ def _day_step(state: Column, day: Column, lead_time_days: int) -> Column:
     """One day: decide on stock before the receipt, receive, serve, lose the rest."""
     position = state["on_hand"] + state["on_order"]
     facts = F.struct(
-        order_quantity(_signal(day), position, lead_time_days).alias("order"),
+        order_quantity(policy_mean(day), position, lead_time_days).alias("order"),
         F.element_at(state["pipe"], 1).alias("received"),
         F.greatest(F.bround(day["y_true"], 0).cast("long"), _zero()).alias("demand"),
         (state["on_hand"] + F.element_at(state["pipe"], 1)).alias("stock"),
@@ -270,7 +285,7 @@ def replay_days(cases: DataFrame, lead_time_days: int = 7) -> DataFrame:
                 day["date"].alias("date"),
                 day["y_true"].alias("y_true"),
                 day["y_pred"].alias("y_pred"),
-                _signal(day).alias("mean_forecast"),
+                policy_mean(day).alias("mean_forecast"),
                 s["received"].alias("received_qty"),
                 s["on_hand"].alias("on_hand"),
                 s["on_order"].alias("on_order"),

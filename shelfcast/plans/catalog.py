@@ -28,8 +28,8 @@ from shelfcast.operators import features as gold
 from shelfcast.plans import experiments, oracle
 from shelfcast.plans.medallion import Bronze, Gold, Silver
 from shelfcast.plans.oracle import DAY, REPORT, REPORT_NAMES, SCORE_NAMES, SCORES
-from shelfcast.session import freeze, scratch_folder
-from shelfcast.sources import raw
+from shelfcast.session import freeze, saved, scratch_folder
+from shelfcast.sources import nanos, raw
 from shelfcast.sources.driver_tables import DriverTables
 from shelfcast.sources.layers import Layer, check_load, scan_raw, stamp_load, with_year_month
 from shelfcast.sources.schemas import SERIES, SERIES_DAY, TABLES
@@ -48,6 +48,17 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.selectExpr(*[f"{oracle.rounded(c)} as {c}" if t == "double" else c for c, t in df.dtypes])
 
 
+_SETTLED: dict[tuple[str, str], DriverTables] = {}
+
+
+def _settled(t: DriverTables) -> DriverTables:
+    """The tables with their daily aggregate written, once a session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _SETTLED:
+        _SETTLED[key] = t.settled()
+    return _SETTLED[key]
+
+
 def entry(
     name: str, needs: str = "", sql: str = "", double: str = "", text: str = "", settle: bool = False
 ):
@@ -57,7 +68,7 @@ def entry(
     def wrap(build: Callable[[DriverTables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             t = DriverTables(spark, folder)
-            return _rounded(build(t.settled() if settle else t))
+            return _rounded(build(_settled(t) if settle else t))
 
         QUERIES[name] = run
         if text:
@@ -131,6 +142,11 @@ def sibling(layer: Layer, name: str) -> Layer:
     return Layer(layer.spark, f"{layer.root.rsplit('/', 1)[0]}/{name}", layer.fmt)
 
 
+def check_schema(spark: SparkSession) -> None:
+    """A schema of its own folder in the shared scratch space; the warehouse stays untouched."""
+    spark.sql(f"create schema if not exists shelfcast_check location '{scratch_folder(spark)}/schema'")
+
+
 # ---- sources and sinks --------------------------------------------------------------------------
 
 
@@ -161,6 +177,25 @@ def s02(t):
     )
 
 
+@entry(
+    "s02_physical_nanos",
+    "sales",
+    "select store_id, min(date + units_sold % 1000) as first_ns, max(date + units_sold % 1000) as last_ns, "
+    "cast(sum(units_sold % 1000) as bigint) as below_microsecond, count(*) as n from sales group by store_id",
+)
+def s02_physical(t):
+    """Files with timestamp[ns] columns whose values differ below the microsecond."""
+    folder = f"{scratch_folder(t.spark)}/raw"
+    dated = t.sales().withColumn("date", F.col("date") + F.col("units_sold") % 1000)
+    nanos.write_nanos(dated, f"{folder}/sales", ["date"])
+    return scan_raw(t.spark, folder, "sales").groupBy("store_id").agg(
+        F.min("date").alias("first_ns"),
+        F.max("date").alias("last_ns"),
+        F.sum(F.col("date") % 1000).alias("below_microsecond"),
+        F.count("*").alias("n"),
+    )
+
+
 @entry(
     "s03_load_lineage",
     text="select count(*) as n, count(*) as stamped, cast(1 as bigint) as runs, "
@@ -197,12 +232,33 @@ def s04(t):
 @entry("s05_external_table", "products", "select * from products", "base_price")
 def s05(t):
     zone = raw_zone(t, ("products",))
-    t.spark.sql("create schema if not exists shelfcast_check")
+    check_schema(t.spark)
     t.spark.sql("drop table if exists shelfcast_check.products")
     zone.register("shelfcast_check", "products")
     return t.spark.table("shelfcast_check.products")
 
 
+@entry(
+    "s05_partitioned_table",
+    "sales",
+    "select year, month, count(*) as n, cast(sum(units_sold) as bigint) as units from sales where year >= 1997 group by year, month",
+    settle=True,
+)
+def s05_partitioned(t):
+    """Sales by year and month as an external table; the last years' folders come after it was
+    registered, and the read prunes the first ones."""
+    zone = Layer(t.spark, f"{scratch_folder(t.spark)}/raw")
+    early = F.col("year") < 1998
+    zone.write(t.sales().filter(early), "sales", "overwrite", ["year", "month"])
+    check_schema(t.spark)
+    t.spark.sql("drop table if exists shelfcast_check.sales")
+    zone.register("shelfcast_check", "sales")
+    zone.write(t.sales().filter(~early), "sales", "append", ["year", "month"])
+    zone.discover("shelfcast_check", "sales")
+    late = t.spark.table("shelfcast_check.sales").filter(F.col("year") >= 1997)
+    return late.groupBy("year", "month").agg(F.count("*").alias("n"), F.sum("units_sold").alias("units"))
+
+
 @entry("s06_load_statistics", "prices", "select count(*) as rows_written from prices")
 def s06(t):
     zone = raw_zone(t, ("prices",))
@@ -717,6 +773,10 @@ def g10(t):
 _audited = [*gold.LAG_COLUMNS, *gold.ROLLING_COLUMNS, "current_price", "price_week_start"]
 
 
+def _audit(t: DriverTables, rows: DataFrame, sample_size: int = 1000) -> DataFrame:
+    return audit.audit_master(rows, t.sales(), gold.add_prices(t.sales().select(*SERIES_DAY), t.prices()), sample_size)
+
+
 @entry(
     "g11_leakage_audit",
     "sales",
@@ -725,9 +785,26 @@ _audited = [*gold.LAG_COLUMNS, *gold.ROLLING_COLUMNS, "current_price", "price_we
     settle=True,
 )
 def g11(t):
-    sales = t.sales()
-    priced = gold.add_prices(sales.select(*SERIES_DAY), t.prices())
-    return audit.audit_master(gold.add_prices(history(t), t.prices()), sales, priced)
+    return _audit(t, written_master(t))
+
+
+@entry(
+    "g11_injected_leak",
+    "history priced",
+    "select feature, bad = 0 as passes, n as sample_size_checked, cast(bad as bigint) as mismatches from ("
+    "select feature, (select count(*) from history) as n, case feature "
+    "when 'lag_7_units' then (select count(*) from history where store_id = 'store_0003' and lag_7_units is distinct from units_sold) "
+    "when 'current_price' then (select count(*) from priced where store_id = 'store_0002' and current_price is not null) "
+    "else 0 end as bad from (values " + ", ".join(f"('{n}')" for n in _audited) + ") f(feature)) x",
+    settle=True,
+)
+def g11_injected(t):
+    """The audit of every row of a master in which one store's lag holds the label itself and
+    another's prices are a cent too high."""
+    lag = F.when(F.col("store_id") == "store_0003", F.col("label_units_sold")).otherwise(F.col("lag_7_units"))
+    price = F.when(F.col("store_id") == "store_0002", F.col("current_price") + 0.01).otherwise(F.col("current_price"))
+    leaky = written_master(t).withColumns({"lag_7_units": lag, "current_price": price})
+    return _audit(t, leaky, sample_size=leaky.count())
 
 
 # ---- forecasters --------------------------------------------------------------------------------
@@ -773,26 +850,54 @@ def f05(t):
 
 
 def _with_categories(t: DriverTables) -> DataFrame:
-    rows = master(t).join(t.products().select("sku_id", "category"), "sku_id", "left")
+    rows = written_master(t).join(t.products().select("sku_id", "category"), "sku_id", "left")
     return rows.join(t.stores().select("store_id", "store_type"), "store_id", "left")
 
 
 def _model_rows(t: DriverTables) -> DataFrame:
-    """The master table with categories, written once: each boosting round reads it again."""
-    return freeze(_with_categories(t))
+    """The master table with categories, written once: folds read it again."""
+    return saved(_with_categories(t), "model-rows")
+
+
+#: The learned run of a session and folder, written once; its queries read the same rows.
+_LEARNED: dict[tuple[str, str], experiments.LearnedRun] = {}
+
+
+def learned(t: DriverTables) -> experiments.LearnedRun:
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _LEARNED:
+        _LEARNED[key] = experiments.run_learned(_model_rows(t), n_folds=N_FOLDS, horizon=HORIZON, min_train=MIN_TRAIN)
+    return _LEARNED[key]
 
 
 @entry("f06_boosted_trees", settle=True)
 def f06(t):
-    rows = _model_rows(t)
-    _, folds = experiments.fold_context(rows, 1, HORIZON, MIN_TRAIN)
-    columns, categorical = audit.feature_columns(rows)
-    train = evaluate.between_days(rows, folds[0].train_start, folds[0].train_end)
-    val = evaluate.between_days(rows, folds[0].val_start, folds[0].val_end)
-    model = forecast.fit_boosted_trees(train, val, columns, categorical)
-    return forecast.predict_learned(model, val, columns, categorical).select(
-        *SERIES_DAY, F.col("label_units_sold").alias("y_true"), "y_pred"
+    """The trees' forecasts of the last fold."""
+    rows = learned(t).scored.filter((F.col("model") == "boosted_trees") & (F.col("fold_id") == N_FOLDS))
+    return rows.select(*SERIES_DAY, "y_true", "y_pred")
+
+
+_deviance = "avg(case when y_true > 0 then y_true * ln(y_true / {0}) else 0 end - (y_true - {0}))"
+
+
+@entry(
+    "f06_boosted_facts",
+    "scored folds",
+    f"select {_keys}, y_true, true as known, true as better_than_train_mean from scored where model = 'naive' and fold_id = 3",
+    "y_true",
+    settle=True,
+)
+def f06_facts(t):
+    """Each forecast's row, whether it is a number from zero on, and whether the trees' Poisson
+    deviance lies below that of the training mean."""
+    rows = f06(t)
+    _, folds = experiments.fold_context(t.sales().withColumnRenamed("units_sold", "label_units_sold"), N_FOLDS, HORIZON, MIN_TRAIN)
+    mean = evaluate.between_days(t.sales(), folds[-1].train_start, folds[-1].train_end).agg(F.avg("units_sold").alias("m"))
+    scores = rows.withColumn("m", mean.scalar()).agg(
+        (F.expr(_deviance.format("greatest(y_pred, 1e-9)")) < F.expr(_deviance.format("m"))).alias("better")
     )
+    known = F.col("y_pred").isNotNull() & ~F.isnan("y_pred") & (F.col("y_pred") >= 0)
+    return rows.select(*SERIES_DAY, "y_true", known.alias("known"), scores.scalar().alias("better_than_train_mean"))
 
 
 # ---- evaluation ---------------------------------------------------------------------------------
@@ -894,12 +999,42 @@ def e13b(t):
 
 @entry("e14_learned_folds", settle=True)
 def e14(t):
-    return experiments.run_learned(
-        _model_rows(t),
-        n_folds=N_FOLDS,
-        horizon=HORIZON,
-        min_train=MIN_TRAIN,
-    )[0]
+    return learned(t).per_fold
+
+
+@entry(
+    "e14_learned_facts",
+    "scored",
+    "select m.model, fold_id, count(*) as n_val_rows, sum(y_true) as total_actual, cast(0 as bigint) as bad_forecasts, "
+    "cast(0 as bigint) as repeated_keys, true as scores_agree, true as shares_sum_to_one "
+    "from scored s, (values ('boosted_trees'), ('poisson')) m(model) where s.model = 'naive' group by m.model, fold_id",
+    "total_actual",
+    settle=True,
+)
+def e14_facts(t):
+    """What can be known of learned forecasts without the models: rows, keys, actuals, no negative
+    value; the per-fold scores follow from the rows, importances are shares."""
+    run = learned(t)
+    bad = F.col("y_pred").isNull() | F.isnan("y_pred") | (F.col("y_pred") < 0)
+    facts = run.scored.groupBy("model", "fold_id").agg(
+        F.count("*").alias("n_val_rows"),
+        F.sum("y_true").alias("total_actual"),
+        F.sum(bad.cast("long")).alias("bad_forecasts"),
+        (F.count("*") - F.count_distinct(*SERIES_DAY)).alias("repeated_keys"),
+        (F.sum(F.abs(F.col("y_pred") - F.col("y_true"))) / F.sum("y_true")).alias("own_wape"),
+    )
+    gains = F.aggregate(F.transform("importances", lambda x: x["gain"]), F.lit(0.0), lambda a, x: a + x)
+    whole = F.when(F.col("model") == "boosted_trees", F.abs(gains - 1) < 1e-9).otherwise(F.col("importances").isNull())
+    joined = facts.join(run.per_fold.select("model", "fold_id", "wape", whole.alias("shares_sum_to_one")), ["model", "fold_id"])
+    agree = F.abs(F.col("wape") - F.col("own_wape")) < 1e-9
+    return joined.withColumn("scores_agree", agree).drop("wape", "own_wape")
+
+
+@entry("e15_learned_comparison", settle=True)
+def e15_learned(t):
+    """Learned models and baselines side by side."""
+    names = ["model", "fold_id", *errors.SCORES]
+    return evaluate.compare_models(learned(t).per_fold.select(*names).unionByName(per_fold(t).select(*names)))
 
 
 @entry(
@@ -951,10 +1086,17 @@ _flags = ["is_on_promo", "is_weekend", "is_us_holiday"]
 _numeric = [c for c in _features if c not in [*SERIES, *_flags]]
 
 
+_MASTERS: dict[tuple[str, str], Layer] = {}
+
+
 def written_master(t: DriverTables) -> DataFrame:
-    zone = Layer(t.spark, f"{scratch_folder(t.spark)}/gold")
-    zone.write(master(t), "features_master", "overwrite", ["year", "month"])
-    return zone.read("features_master")
+    """The master table of a session and folder, written once."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _MASTERS:
+        zone = Layer(t.spark, f"{scratch_folder(t.spark)}/gold")
+        zone.write(master(t), "features_master", "overwrite", ["year", "month"])
+        _MASTERS[key] = zone
+    return _MASTERS[key].read("features_master")
 
 
 def _per_feature(names: list[str], source: str, **fields: str) -> str:
@@ -1058,6 +1200,61 @@ def l06(t):
     return segments.segment_metric_log(rows, _last_train(t))
 
 
+@entry(
+    "l06_learned_segments",
+    "scored products stores folds sales",
+    "select m.model, x.fold_id, x.segment, x.value, cast(5 as bigint) as metrics, true as all_known from ("
+    + " union all ".join(
+        f"select fold_id, '{c}' as segment, value from (select fold_id, value, row_number() over (partition by fold_id "
+        f"order by total desc, value) as nth from (select fold_id, cast({c} as varchar) as value, sum(y_true) as total from "
+        f"(select * from scored where model = 'naive') s left join products using (sku_id) left join stores using (store_id) "
+        f"where {c} is not null group by fold_id, {c})) where nth <= {n}"
+        for c, n in (("category", 5), ("store_type", 3))
+    )
+    + ") x, (values ('boosted_trees'), ('poisson')) m(model)",
+    settle=True,
+)
+def l06_learned(t):
+    """Which categories and store types each fold's log of the learned run holds, with all metrics."""
+    log = learned(t).segments.filter(F.col("segment") != "volume_tier")
+    return log.groupBy("model", "fold_id", "segment", "value").agg(
+        F.count_distinct("metric").alias("metrics"),
+        F.min(F.col("score").isNotNull() & ~F.isnan("score")).alias("all_known"),
+    )
+
+
+@entry(
+    "l06_learned_tiers",
+    "scored",
+    "select m.model, fold_id, sum(y_true) as total_actual, true as weighted_mae_agrees from scored s, "
+    "(values ('boosted_trees'), ('poisson')) m(model) where s.model = 'naive' group by m.model, fold_id",
+    "total_actual",
+    settle=True,
+)
+def l06_tiers(t):
+    """The volume tiers of each fold cover its rows: their mean absolute errors, weighted by rows,
+    give the fold's."""
+    run = learned(t)
+    tiers = None
+    rows = run.scored
+    _, folds = experiments.fold_context(t.sales().withColumnRenamed("units_sold", "label_units_sold"), N_FOLDS, HORIZON, MIN_TRAIN)
+    for fold in folds:
+        train = evaluate.between_days(t.sales(), fold.train_start, fold.train_end)
+        own = segments.train_volume_tiers(train, "units_sold").withColumn("fold_id", F.lit(fold.fold_id))
+        tiers = own if tiers is None else tiers.unionByName(own)
+    sizes = rows.join(tiers, [*SERIES, "fold_id"]).groupBy("model", "fold_id", F.col("volume_tier").alias("value")).agg(
+        F.count("*").alias("n"), F.sum("y_true").alias("total"), F.sum(F.abs(F.col("y_pred") - F.col("y_true"))).alias("error")
+    )
+    log = run.segments.filter("segment = 'volume_tier' and metric = 'mae'").drop("segment", "metric")
+    known = rows.join(tiers, [*SERIES, "fold_id"], "left_anti").groupBy("model", "fold_id").agg(F.sum("y_true").alias("rest"))
+    met = sizes.join(log, ["model", "fold_id", "value"]).groupBy("model", "fold_id").agg(
+        F.sum("total").alias("inside"),
+        (F.abs(F.sum(F.col("score") * F.col("n")) - F.sum("error")) < 1e-6 * F.sum("n")).alias("weighted_mae_agrees"),
+    )
+    whole = F.col("inside") + F.coalesce("rest", F.lit(0.0))
+    return met.join(known, ["model", "fold_id"], "left").select("model", "fold_id", whole.alias("total_actual"), "weighted_mae_agrees")
+
+
 # ---- segments -----------------------------------------------------------------------------------
 
 
@@ -1175,7 +1372,7 @@ def a10(t):
     rows = preds(t).join(t.products().select("sku_id", "category"), "sku_id", "left")
     rows = rows.join(t.stores().select("store_id", "store_type"), "store_id", "left")
     report = segments.segment_report(rows, ["category", "store_type"])
-    return segments.heatmap(report, "store_type", "category", ["A", "B", "C"])
+    return segments.heatmap(report, "store_type", "category")
 
 
 # ---- inventory ----------------------------------------------------------------------------------
@@ -1290,6 +1487,25 @@ def i09(t):
     return rows.select(*SERIES_DAY, "y_true", "rolling_mean", "seasonal_naive", "ml")
 
 
+@entry(
+    "i09_wide_window",
+    "preds sales",
+    f"select {_keys}, rolling_mean, seasonal_naive from (select *, coalesce(avg(y_true) over w35, 0) as rolling_mean, "
+    "coalesce(lag(y_true, 14) over w, avg(y_true) over w35, 0) as seasonal_naive from ("
+    "select store_id, sku_id, date, y_true, true as in_horizon from preds union all "
+    "select store_id, sku_id, date, cast(units_sold as double), false from ("
+    "select *, row_number() over (partition by store_id, sku_id order by date desc) as newest "
+    "from sales where date < (select min(date) from preds)) where newest <= 35) "
+    "window w as (partition by store_id, sku_id order by date), "
+    "w35 as (partition by store_id, sku_id order by date rows between 35 preceding and 1 preceding)) where in_horizon",
+    "rolling_mean seasonal_naive",
+    settle=True,
+)
+def i09_wide(t):
+    rows = replenish.demand_signals(forecast_table(t), t.sales(), window=35, season=14, history=28)
+    return rows.filter("in_horizon").select(*SERIES_DAY, "rolling_mean", "seasonal_naive")
+
+
 _mean_sql = (
     "case kind when 'rolling_mean' then rolling_mean when 'seasonal_naive' then seasonal_naive else ml end"
 )
@@ -1318,6 +1534,28 @@ def i10(t):
     return rows.select(*SERIES, F.col("day.date").alias("date"), "policy", quantity.alias("reorder_qty"))
 
 
+@entry(
+    "i10_orders_at_positions",
+    "horizon series",
+    f"select {_keys}, policy, position, case when kind <> 'ml' then "
+    f"greatest(0, cast(ceil(14.0::double * ({_mean_sql}) - position) as bigint)) "
+    f"when position >= {_point_sql} then 0 else "
+    f"greatest(0, cast(ceil({_point_sql} + 14.0::double * ({_mean_sql}) - position) as bigint)) end as reorder_qty "
+    "from (select *, unnest([0, initial_stock // 2, initial_stock, 3 * initial_stock]) as position, "
+    "unnest([0, 1, 2, 3]) as nth from horizon join series using (store_id, sku_id)) h "
+    f"cross join (values {oracle.STANDARD}) p(policy, kind, z)",
+    settle=True,
+)
+def i10_positions(t):
+    """Orders of every policy at stocks from none to three times the opening one."""
+    stock = F.col("initial_stock")
+    cases = replenish.with_policies(_positions(t), replenish.STANDARD)
+    levels = F.array(F.lit(0).cast("long"), F.floor(stock / 2), stock, stock * 3)
+    rows = cases.withColumn("day", F.explode("days")).withColumn("position", F.explode(levels))
+    quantity = replenish.order_quantity(replenish.policy_mean(F.col("day")), F.col("position"), 7)
+    return rows.select(*SERIES, F.col("day.date").alias("date"), "policy", "position", quantity.alias("reorder_qty"))
+
+
 _trace = "received_qty, on_hand, on_order, served_units, stockout_units, reorder_qty"
 
 

@@ -160,3 +160,19 @@ def test_economics_fill_each_other(spark):
     products = spark.createDataFrame([("a", "x", 9.0), ("b", "y", 7.0)], "sku_id string, category string, base_price double")
     got = {r.sku_id: (r.unit_price, r.base_price, r.category) for r in rp.economics(prices, products).collect()}
     assert got == {"a": (2.0, 9.0, "x"), "b": (7.0, 7.0, "y"), "c": (5.0, 5.0, None)}
+
+
+def test_window_and_history_are_parameters(spark):
+    preds = spark.createDataFrame([("s", "a", day(100 + i), float(i), 1.0) for i in range(5)], PREDS)
+    actuals = spark.createDataFrame([("s", "a", day(i), i % 13) for i in range(100)], ACTUALS)
+    y = [float(i % 13) for i in range(100)] + [float(i) for i in range(5)]
+    got = rp.demand_signals(preds, actuals, 7, window=35, season=14, history=10).orderBy("date").collect()
+    ahead = [r for r in got if r.in_horizon]
+    for i, r in enumerate(ahead):
+        at = 100 + i
+        assert math.isclose(r.rolling_mean, sum(y[at - 35 : at]) / 35) and r.seasonal_naive == y[at - 14]
+    assert sum(r.in_history for r in got) == 10 and len(got) == 40
+    series = rp.gather_series(rp.demand_signals(preds, actuals, 7, window=35, season=14, history=10)).first()
+    assert math.isclose(series.mean_daily, sum(y[90:100]) / 10)
+    with pytest.raises(ValueError, match="window"):
+        rp.demand_signals(preds, actuals, 7, window=0)
