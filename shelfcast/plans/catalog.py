@@ -770,6 +770,29 @@ def g10(t):
     return master(t)
 
 
+#: The master table by feature family: narrow enough to be compared on any machine.
+_families = {
+    "demand": ["label_units_sold", "revenue", *gold.LAG_COLUMNS, *gold.SEASONAL_COLUMNS],
+    "rolling": gold.ROLLING_COLUMNS,
+    "prices": [*gold.PRICE_COLUMNS, *gold.PROMO_COLUMNS],
+    "days": gold.CALENDAR_COLUMNS,
+}
+
+
+def _family(columns: list[str]):
+    return lambda t: master(t).select(*SERIES_DAY, *columns)
+
+
+for _name, _columns in _families.items():
+    entry(
+        f"g10_master_{_name}",
+        "master",
+        f"select {_keys}, {', '.join(_columns)} from master",
+        " ".join(c for c in _master_doubles.split() if c in _columns),
+        settle=True,
+    )(_family(_columns))
+
+
 _audited = [*gold.LAG_COLUMNS, *gold.ROLLING_COLUMNS, "current_price", "price_week_start"]
 
 
@@ -1172,6 +1195,21 @@ def l04(t):
     return audit.model_frame(_with_categories(t))
 
 
+@entry(
+    "l04_frame_types",
+    "master products stores",
+    f"select {_keys.replace(', date', '')}, timestamp '1970-01-01' + to_days(cast(date // {DAY} as int)) as date, "
+    + ", ".join(f"cast({c} as double) as {c}" for c in _flags)
+    + ", label_units_sold, category, store_type from master left join products using (sku_id) left join stores using (store_id)",
+    " ".join(_flags),
+    settle=True,
+)
+def l04_types(t):
+    """The columns whose types the model frame changes or asks for."""
+    frame = audit.model_frame(_with_categories(t))
+    return frame.select(*SERIES, "date", *_flags, "label_units_sold", "category", "store_type")
+
+
 def _last_train(t: DriverTables) -> DataFrame:
     """The labels that the last fold trains on."""
     folds = evaluate.fold_list(evaluate.walk_forward_folds(t.sales(), N_FOLDS, HORIZON, MIN_TRAIN))
