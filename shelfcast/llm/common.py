@@ -6,6 +6,7 @@ import ctypes
 import gc
 import math
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     here, no executor holds the only copy, and later readers prune columns."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = "8m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a job runs, its Arrow batches are bounded by bytes: rows hold whole texts, and both
+    sides keep a batch in memory. The session's own setting returns afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def held_out(key: Column) -> Column:
     """True if crc32 of the key as text leaves 0 on division by 5; a null key is never learned from,
     so it counts as held out."""

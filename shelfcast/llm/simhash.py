@@ -18,13 +18,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import batch, binary, raw_text, saved
+from shelfcast.llm.common import batch, binary, pieces, raw_text, saved
 from shelfcast.llm.components import connected_components
 
 SEED = 42
@@ -62,16 +61,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(key, fp): one row for each row of `docs`; fp holds the 64 bits in a long."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), raw_text(F.col(text)).alias("text"))
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    """(key, digest, fp): one row for each row of `docs`; fp holds the 64 bits in a long."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_digest(text).alias("digest"), raw_text(F.col(text)).alias("text"))
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [fingerprint(x, words) for x in binary(b.column(1))]
-            yield batch(schema, b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)))
+        for b in pieces(batches, 2):
+            fps = [fingerprint(x, words) for x in binary(b.column(2))]
+            yield batch(schema, b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)))
 
-    return rows.mapInArrow(run, "key long, fp long")
+    return rows.mapInArrow(run, "key long, digest long, fp long")
 
 
 class Block:
@@ -239,29 +238,27 @@ def one_of_each_group(
 ) -> DataFrame:
     """The rows of `docs` with the smallest key of their group (null keys last), one row for each
     group: of repeated rows, that with the smallest text."""
-
-    @F.pandas_udf("long")
-    def mark(texts: pd.Series) -> pd.Series:
-        found = [fingerprint((x or "").encode(), words) for x in texts]
-        return pd.Series(np.array(found, dtype=np.uint64).view(np.int64))
-
     marked = saved(fingerprints(docs, key, text, words), "fingerprints")
     named = _groups(marked, threshold, blocks).select("fp", "root")
-    return first_rows(docs, marked.join(named, "fp"), mark, key, text)
+    return first_rows(docs, marked.join(named, "fp"), key, text)
+
+
+def text_digest(text: str) -> Column:
+    return F.xxhash64(raw_text(F.col(text)))
 
 
-def first_rows(docs: DataFrame, rooted: DataFrame, mark, key: str, text: str) -> DataFrame:
-    """One row of `docs` for each root of `rooted` (key, fp, root): that with the smallest key, then
-    the smallest text. `mark` gives the fp of a text."""
-    row = F.struct(F.col("key").isNull().alias("n"), F.coalesce("key", F.lit(0)).alias("k"), "fp")
+def first_rows(docs: DataFrame, rooted: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of `docs` for each root of `rooted` (key, digest, root): that with the smallest key,
+    then the smallest digest of its text; null before empty text."""
+    row = F.struct(F.col("key").isNull().alias("n"), F.coalesce("key", F.lit(0)).alias("k"), "digest")
     first = rooted.groupBy("root").agg(F.min(row).alias("first")).select("first.*")
-    first = first.toDF("shelfcast_n", "shelfcast_k", "shelfcast_fp")
+    first = saved(first.toDF("shelfcast_n", "shelfcast_k", "shelfcast_digest"), "first")
     number = F.col(key).cast("long")
     rows = docs.withColumns(
         {
             "shelfcast_n": number.isNull(),
             "shelfcast_k": F.coalesce(number, F.lit(0)),
-            "shelfcast_fp": mark(F.col(text)),
+            "shelfcast_digest": text_digest(text),
         }
     )
     kept = rows.join(first, first.columns, "left_semi")
