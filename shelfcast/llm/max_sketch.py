@@ -55,9 +55,9 @@ FOUND = pa.schema([("query", pa.int32()), ("key", pa.int64()), ("digest", pa.int
 FOUND_DDL = "query int, key long, digest long, value long"
 
 
-def sketch(tally: dict[bytes, int]) -> tuple[bytes, bytes]:
-    """(coordinates, largest frequencies), in order of the coordinates."""
-    places = np.fromiter(map(coordinate, tally), np.uint32, len(tally)) & np.uint32(COORDINATES - 1)
+def sketch(tally: dict[bytes, int], coordinates: int = COORDINATES) -> tuple[bytes, bytes]:
+    """(coordinates, largest frequencies), in order of the coordinates (a power of two, at most 2**16)."""
+    places = np.fromiter(map(coordinate, tally), np.uint32, len(tally)) & np.uint32(coordinates - 1)
     counts = np.minimum(np.fromiter(tally.values(), np.int64, len(tally)), MOST)
     order = np.lexsort((-counts, places))
     places, counts = places[order], counts[order]
@@ -79,26 +79,29 @@ def weight(documents: int, holding: int) -> int:
     return math.floor(1000 * math.log((2 * documents + 2) / (2 * holding + 1)))
 
 
-class SketchIndex:
-    """The written sketches of a collection, and the texts they stand for."""
-
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text"):
-        body = raw_text(F.col(text))
-        self.texts = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(body).alias("digest"), body.alias("text"))
-        self.rows = saved(self.texts.mapInArrow(self._sketches, INDEX_DDL), "sketches")
-        found = self.rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("terms")).first()
-        self.documents, self.terms = found["n"], found["terms"] or 0
-
-    @staticmethod
-    def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(coordinates: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 2):
             found = [terms_of(x) for x in binary(b.column(2))]
             kept = [i for i, x in enumerate(found) if x]
-            made = [sketch(Counter(found[i])) for i in kept]
+            made = [sketch(Counter(found[i]), coordinates) for i in kept]
             at = pa.array(kept, pa.int64())
             places, peaks = zip(*made) if made else ((), ())
             yield batch(INDEX, b.column(0).take(at), b.column(1).take(at), [len(found[i]) for i in kept], list(places), list(peaks))
 
+    return run
+
+
+class SketchIndex:
+    """The written sketches of a collection, and the texts they stand for."""
+
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", coordinates: int = COORDINATES):
+        body, self.coordinates = raw_text(F.col(text)), coordinates
+        self.texts = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(body).alias("digest"), body.alias("text"))
+        self.rows = saved(self.texts.mapInArrow(_sketches(coordinates), INDEX_DDL), "sketches")
+        found = self.rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("terms")).first()
+        self.documents, self.terms = found["n"], found["terms"] or 0
+
     def holders(self, wanted: set[bytes]) -> dict[bytes, int]:
         """How many documents hold each of the wanted terms; one row a term comes to the driver."""
         schema = pa.schema([("term", pa.binary()), ("n", pa.int64())])
@@ -116,7 +119,8 @@ class SketchIndex:
 
     def search(self, queries: list[list[bytes]], k: int = 20) -> DataFrame:
         """(query, rank, key, score): the k best documents of each query of a block, by its number."""
-        block = QueryBlock(queries, self.holders({t for q in queries for t in q}), self.documents, self.terms)
+        holding = self.holders({t for q in queries for t in q})
+        block = QueryBlock(queries, holding, self.documents, self.terms, self.coordinates)
         best = self.rows.sparkSession.createDataFrame([], f"{FOUND_DDL}, place int")
         floor: dict[int, tuple[int, int]] = {}
         done: dict[int, tuple[int, int, int]] = {}
@@ -193,7 +197,7 @@ def _rank(key: int | None) -> int:
 class QueryBlock:
     """Queries with their term weights, as exact lists and as postings over coordinates."""
 
-    def __init__(self, queries: list[list[bytes]], holding: dict[bytes, int], documents: int, terms: int):
+    def __init__(self, queries: list[list[bytes]], holding: dict[bytes, int], documents: int, terms: int, coordinates: int):
         self.documents, self.terms, self.n = documents, terms, len(queries)
         self.weights = [
             {t: times * weight(documents, holding.get(t, 0)) for t, times in Counter(q).items() if t in holding} for q in queries
@@ -201,11 +205,11 @@ class QueryBlock:
         found: dict[tuple[int, int], int] = {}
         for q, own in enumerate(self.weights):
             for t, w in own.items():
-                at = (coordinate(t) & (COORDINATES - 1), q)
+                at = (coordinate(t) & (coordinates - 1), q)
                 found[at] = found.get(at, 0) + max(0, w)
         self.posting_query = np.array([q for _, q in sorted(found)], dtype=np.int64)
         self.posting_weight = np.array([found[x] for x in sorted(found)], dtype=np.int64)
-        self.first = np.searchsorted(np.array([c for c, _ in sorted(found)]), np.arange(COORDINATES + 1))
+        self.first = np.searchsorted(np.array([c for c, _ in sorted(found)]), np.arange(coordinates + 1))
 
     def bounds(self, rows: pa.RecordBatch, floor: dict, done: dict) -> pa.RecordBatch:
         n = rows.num_rows
@@ -262,10 +266,11 @@ def ranked(
     item: str = "item_id",
     item_text: str = "text",
     block: int = QUERY_BLOCK,
+    coordinates: int = COORDINATES,
 ) -> DataFrame:
     """(item, rank, key, score) of the k best documents of each item, searched block by block."""
     spark: SparkSession = docs.sparkSession
-    index = SketchIndex(docs, key, text)
+    index = SketchIndex(docs, key, text, coordinates)
     own = items.select(F.col(item).cast("long").alias("item"), raw_text(F.col(item_text)).alias("text"))
     own = own.groupBy("item").agg(F.min("text").alias("text")).orderBy("item")
     parts, held = [], []

@@ -78,8 +78,7 @@ def test_search_of_crowded_collections_is_exact(spark, monkeypatch):
     asked = spark.createDataFrame(list(items.items()), "item_id long, text string").selectExpr("*", "0 as query", "'y' as item")
     want = {i: x for i, x in brute_ranking(docs, items, 20).items() if x}
     for coordinates in (1 << 16, 64):
-        monkeypatch.setattr(max_sketch, "COORDINATES", coordinates)
-        assert ranking(max_sketch.ranked(frame.repartition(3), asked, k=20, block=7)) == want
+        assert ranking(max_sketch.ranked(frame.repartition(3), asked, k=20, block=9, coordinates=coordinates)) == want
 
 
 def test_search_of_nothing(spark):
