@@ -87,8 +87,9 @@ def op6_edited_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
-    archives, _ = warc.archive_pages(table(spark, folder, "pages"))
-    return warc.read_archives(spark, archives)
+    """Every page, read back through the offsets of the sidecar index."""
+    archives, index = warc.archive_pages(table(spark, folder, "pages"))
+    return warc.read_by_index(spark, archives, spark.read.schema(warc.INDEX_DDL).parquet(index))
 
 
 OP7_SQL = """

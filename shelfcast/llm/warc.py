@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import batch
+from shelfcast.llm.common import batch, saved
 from shelfcast.session import scratch_folder
 
 LEAST_BYTES = 100
+#: A task holds one archive: 4,000 pages of 100 kB are 400 MB at most, before compression.
+RECORDS_PER_ARCHIVE = 4000
 GZIP = 31  # zlib's window bits for a gzip header and trailer
 INFLATE_STEP = 1 << 20
 LEVEL = 6
@@ -50,12 +52,14 @@ def with_references(pages: DataFrame, key: str, payload: str, url: str, least_by
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    long_ones = rows.filter(F.col("n_bytes") >= least_bytes)
-    shared = long_ones.groupBy(F.col("digest").alias("same")).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
+    # first pages and revisits are found on narrow rows; only the revisits' keys meet the payloads
+    narrow = rows.filter(F.col("n_bytes") >= least_bytes).select("key", "digest")
+    shared = narrow.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
     shared = shared.filter((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
-    met = rows.join(shared, F.col("digest") == F.col("same"), "left")
-    other = ~F.col("key").eqNullSafe(F.col("first"))
-    return met.withColumn("refers_to", F.when(F.col("first").isNotNull() & other, F.col("first"))).drop("same", "first")
+    again = narrow.join(shared, "digest").filter(~F.col("key").eqNullSafe(F.col("first"))).distinct()
+    again = saved(again.toDF("same", "own", "refers_to"), "revisits")  # written, so that its size is known
+    met = (F.col("digest") == F.col("same")) & F.col("key").eqNullSafe(F.col("own"))
+    return rows.join(again, met, "left").drop("same", "own")
 
 
 def records(rows: DataFrame, date: str = EPOCH) -> DataFrame:
@@ -82,9 +86,10 @@ def records(rows: DataFrame, date: str = EPOCH) -> DataFrame:
     )
 
 
-def write_streams(rows: DataFrame, path: str) -> None:
-    """Archives of one gzip stream each, one for each partition."""
-    rows.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
+def write_streams(rows: DataFrame, path: str, per_archive: int = RECORDS_PER_ARCHIVE) -> None:
+    """Archives of one gzip stream and at most `per_archive` records each."""
+    writer = rows.write.option("compression", "gzip").option("maxRecordsPerFile", per_archive)
+    writer.option("lineSep", "\r\n\r\n").text(path)
 
 
 class Stream:
@@ -168,8 +173,10 @@ def parse_record(content: bytes) -> tuple[dict[str, str], bytes]:
     return fields, content[end : end + int(fields["Content-Length"])]
 
 
-def write_members(spark: SparkSession, streams: str, archives: str, level: int = LEVEL) -> None:
-    """Inflate each stream of a folder once and write its records as members, an archive a task."""
+def write_members(
+    spark: SparkSession, streams: str, archives: str, level: int = LEVEL, per_archive: int = RECORDS_PER_ARCHIVE
+) -> None:
+    """Inflate each stream of a folder once and write its records as members."""
     files = spark.read.format("binaryFile").load(streams).select("content")
     schema = pa.schema([("stored", pa.binary())])
 
@@ -189,7 +196,7 @@ def write_members(spark: SparkSession, streams: str, archives: str, level: int =
                     yield batch(schema, out)
 
     rows = files.mapInArrow(run, "stored binary").select(F.col("stored").cast("string").alias("value"))
-    rows.write.option("lineSep", "\x00").text(archives)
+    rows.write.option("lineSep", "\x00").option("maxRecordsPerFile", per_archive).text(archives)
 
 
 INDEX = pa.schema(
@@ -278,13 +285,18 @@ def read_by_index(spark: SparkSession, archives: str, index: DataFrame) -> DataF
 
 
 def archive_pages(
-    pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url", least_bytes: int = LEAST_BYTES
+    pages: DataFrame,
+    key: str = "page_id",
+    payload: str = "html",
+    url: str = "url",
+    least_bytes: int = LEAST_BYTES,
+    per_archive: int = RECORDS_PER_ARCHIVE,
 ) -> tuple[str, str]:
     """Write, normalise and index all pages; returns the folders of archives and index."""
     spark = pages.sparkSession
     path = scratch_folder(spark)
     streams, archives, index = (f"{path}/{x}" for x in ("streams", "archives", "index"))
-    write_streams(records(with_references(pages, key, payload, url, least_bytes)), streams)
-    write_members(spark, streams, archives)
+    write_streams(records(with_references(pages, key, payload, url, least_bytes)), streams, per_archive)
+    write_members(spark, streams, archives, per_archive=per_archive)
     write_index(spark, archives, index)
     return archives, index

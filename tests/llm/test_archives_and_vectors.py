@@ -69,6 +69,15 @@ def test_index_finds_each_member(spark, archived):
     assert [r.page_id for r in warc.read_by_index(spark, archives, one).collect()] == [10]
 
 
+def test_archives_hold_a_bounded_number_of_records(spark, archived):
+    pages = spark.createDataFrame([(i, "u", f"{i % 30} " + "y" * 200) for i in range(100)], "page_id long, url string, html string")
+    archives, index = warc.archive_pages(pages.coalesce(1), per_archive=7)
+    table = spark.read.parquet(index)
+    assert table.groupBy("archive").count().agg(F.max("count")).first()[0] == 7 and table.count() == 100
+    found = {r.page_id: r.refers_to for r in warc.read_by_index(spark, archives, table).collect()}
+    assert found == {i: i % 30 if i >= 30 else None for i in range(100)}
+
+
 def test_archives_are_plain_gzip(archived):
     text = b"".join(gzip.open(p).read() for p in glob.glob(f"{archived[0]}/part-*"))
     assert text.count(b"WARC-Record-ID: ") == len(archived[2])
