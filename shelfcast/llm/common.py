@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from shelfcast.session import scratch_folder
 
+#: Where null keys stand in an order.
+NULL_KEY = -(1 << 63)
+
 #: Rows of an ordered partition, at most, as long as keys are spread evenly.
 ROWS_PER_PART = 20_000
 
@@ -95,20 +98,31 @@ class KeyRanges:
     """
 
     def __init__(self, df: DataFrame, key: str, parts: int | None = None):
-        keys = df.select(F.col(key).cast("long").alias("k"))
+        keys = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"))
         rows = keys.agg(F.count(F.lit(1)).alias("n")).first()["n"]
         self.parts = parts or shuffle_width(df.sparkSession, rows)
         marks = [i / self.parts for i in range(1, self.parts)]
         cuts = []
         if marks and rows:
             cuts = keys.agg(F.percentile_approx("k", marks, 20 * self.parts).alias("c")).first()["c"]
-        self.cuts = np.unique(np.array(cuts or [], dtype=np.int64))
+        self.all_cuts = np.sort(np.array(cuts or [], dtype=np.int64))
+        self.cuts = np.unique(self.all_cuts)
         self.rows = rows
 
     def of(self, keys: np.ndarray, null: np.ndarray) -> np.ndarray:
         """The range of each key; null keys come first."""
         return np.where(null, 0, np.searchsorted(self.cuts, keys, side="right")).astype(np.int32)
 
+    def spread(self, keys: np.ndarray, null: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The range of each row, for readers that need no order among rows of one key: a key that
+        several cut points fall on has so many ranges, among which the salt chooses."""
+        keys = np.where(null, NULL_KEY, keys)
+        low, high = (np.searchsorted(self.all_cuts, keys, side=s) for s in ("left", "right"))
+        ways = np.maximum(high - low, 1)
+        mixed = salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        chosen = ((mixed >> np.uint64(33)) % ways.astype(np.uint64)).astype(np.int64)
+        return np.where(high > low, low + 1 + chosen, low).astype(np.int32)
+
 
 def release() -> None:
     """Return what a task has freed to the system: workers are reused, and would keep the peak of

@@ -11,7 +11,8 @@ Shards are Parquet rows, written by Spark's committer to any file system; a lost
 without leaving half a shard.
 
 Rows: null text counts as empty and has the end id alone. Rows go in ascending key order, null keys
-first, rows of equal key in order of their ids. An empty table gives no shards and no rows.
+first; rows of equal key are dealt over as many partitions as they fill, in order of their ids within
+each. An empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,8 +183,10 @@ def encoded(docs: DataFrame, ranges: KeyRanges, tokenizer: str, end_id: int, key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(tokenizer)
+        place = TaskContext.get().partitionId() << 40  # which a repeated task numbers alike
         for b in pieces(batches, 1):
-            part = ranges.of(*long_or_null(b.column(0)))
+            part = ranges.spread(*long_or_null(b.column(0)), np.arange(place, place + b.num_rows))
+            place += b.num_rows
             ids, ends = encoder.encode(b.column(1))
             ids = np.insert(ids, ends, end_id)
             ends = (ends + np.arange(1, len(ends) + 1)).tolist()

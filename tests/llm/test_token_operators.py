@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfcast.llm import automaton, catalog, edit_counts, packing, repair
+from shelfcast.llm.common import KeyRanges
 from shelfcast.llm.piece_ids import ChunkTable, PieceEncoder, piece_encoder
 from shelfcast.llm.tokens import library_encoder, tokenizer_path
 
@@ -135,6 +136,26 @@ def test_odd_rows_are_encoded(odd, library, spark):
     assert coded.count() == odd.count()
 
 
+def test_a_hot_key_is_dealt_over_its_share_of_the_parts(spark, library):
+    rows = [(7 if i % 3 else i, f"text number {i % 40}") for i in range(600)] + [(None, "x")] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranges = KeyRanges(frame, "doc_id", parts=20)
+    keys = np.array([k or 0 for k, _ in rows])
+    null = np.array([k is None for k, _ in rows])
+    parts = ranges.spread(keys, null, np.arange(len(rows)))
+    assert len(set(parts[keys == 7].tolist())) >= 8 and len(set(parts[null].tolist())) >= 6
+    at = {}
+    for k, p in zip(np.where(null, -1, keys).tolist(), parts.tolist()):
+        lo, hi = at.get(k, (p, p))
+        at[k] = min(lo, p), max(hi, p)
+    spans = [at[k] for k in sorted(at)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and max(parts) < 20
+    found = repair.read_shards(spark, repair.write_shards(frame, WORD)).orderBy("start").collect()
+    assert [r.doc_id or -1 for r in found] == sorted([-1 if k is None else k or -1 for k, _ in rows])
+    want = sorted(zlib.crc32(stored([*ids_of(library, WORD, t), 1])) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in found) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(ids=st.lists(st.integers(0, 5), min_size=1, max_size=400), low=st.integers(0, 50), span=st.integers(0, 60))
 def test_grammar_gives_back_any_range(ids, low, span):
