@@ -73,8 +73,8 @@ def last_days_holdout(df: DataFrame, days: int) -> DataFrame:
 
 
 def fold_list(folds: DataFrame) -> list[Fold]:
-    """Fold bounds on the driver (n_folds rows) so that range filters become literals which reach
-    the Parquet scan and prune partitions."""
+    """Fold bounds on the driver (n_folds rows), so that range filters are literals; over a written
+    table they reach the scan and prune partitions."""
     rows = folds.orderBy("fold_id").collect()
     return [Fold(*[int(r[c]) for c in Fold._fields]) for r in rows]
 
@@ -159,8 +159,9 @@ def fold_fallbacks(days: DataFrame, folds: list[Fold]) -> DataFrame:
 def score_baselines(features: DataFrame, days: DataFrame, folds: list[Fold]) -> DataFrame:
     """Validation rows of every fold scored by every baseline, long: one row per model.
 
-    Only the validation range is read; fallbacks come from the per-day totals and are joined by
-    broadcast (one row per fold).
+    Only rows of the validation range are scored; `features` computed on the fly still read the
+    history behind their windows. Fallbacks come from the per-day totals and are joined by broadcast
+    (one row per fold).
     """
     val = between_days(features, folds[0].val_start, folds[-1].val_end)
     hit = F.filter(fold_array(folds), lambda f: _within(f, "val_start", "val_end"))
