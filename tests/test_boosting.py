@@ -87,7 +87,7 @@ def test_partitions_do_not_change_the_model(spark):
 def test_rounds_lower_the_validation_deviance_and_stop(spark):
     frame, names = panel(spark, 2000), ["a", "b", "c"]
     train, valid = frame.filter(F.col("date") < day(45)), frame.filter(F.col("date") >= day(45))
-    model = forecast.fit_boosted_trees(train, valid, names, max_iter=25, patience=5)
+    model = forecast.fit_boosted_trees(train, valid, names, max_iter=15, step=0.2, max_depth=3, patience=5)
     seen = model.valid_deviance
     assert len(model.trees) == int(np.argmin(seen)) and seen[len(model.trees)] < 0.75 * seen[0]
     noise = train.withColumn("label_units_sold", F.pmod(F.xxhash64("a"), F.lit(4)))
