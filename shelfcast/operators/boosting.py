@@ -27,12 +27,17 @@ from shelfcast.session import scratch_folder
 
 MAX_BINS = 64
 REFRESH = 10
+#: Rows whose cells are summed at a time.
+TOGETHER = 1 << 17
 #: Raw scores stay within this distance below the initial one, means below this multiple of the
 #: largest label.
 DEPTH, HEIGHT = 20.0, 64.0
 
-ROWS = pa.schema([("bins", pa.binary()), ("label", pa.float64()), ("held", pa.bool_()), ("rid", pa.int64()), ("raw", pa.float64())])
-ROWS_DDL = "bins binary, label double, held boolean, rid long, raw double"
+#: A written row is a block of up to so many rows, each column one array's bytes.
+BLOCK = 2048
+KINDS = {"bins": np.uint8, "label": np.float64, "held": np.bool_, "rid": np.int64, "raw": np.float64}
+ROWS = pa.schema([(name, pa.binary()) for name in KINDS])
+ROWS_DDL = ", ".join(f"{name} binary" for name in KINDS)
 
 
 @dataclass
@@ -51,19 +56,23 @@ class Tree:
             column.append(blank)
         return len(self.feature) - 1
 
-    def nodes(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row of bins."""
-        at = np.zeros(len(bins), dtype=np.int64)
-        feature, threshold, missing = np.array(self.feature), np.array(self.threshold), np.array(self.missing_left)
-        left, right = np.array(self.left), np.array(self.right)
-        while True:
-            inner = np.flatnonzero(feature[at] >= 0)
-            if not len(inner):
-                return at
-            node = at[inner]
-            own = bins[inner, feature[node]]
-            goes = np.where(own == 0, missing[node], own <= threshold[node])
-            at[inner] = np.where(goes, left[node], right[node])
+    def nodes(self, columns: np.ndarray) -> np.ndarray:
+        """The leaf of each row, of features x rows bins. Rows are told apart by one comparison of a
+        whole column for each inner node."""
+        small = np.uint8 if len(self.feature) <= 256 else np.int32
+        at = np.zeros(columns.shape[1], dtype=small)
+        inside = {0: np.ones(columns.shape[1], dtype=bool)}
+        for node, feature in enumerate(self.feature):  # parents come before children
+            rows = inside.pop(node)
+            if feature < 0:
+                at += rows.astype(small) * small(node)
+                continue
+            goes = columns[feature] <= self.threshold[node]
+            if not self.missing_left[node]:
+                goes &= columns[feature] != 0
+            goes &= rows
+            inside[self.left[node]], inside[self.right[node]] = goes, rows & ~goes
+        return at
 
 
 @dataclass
@@ -74,6 +83,7 @@ class Split:
     missing_left: bool
     left: tuple[float, float]
     right: tuple[float, float]
+    left_rows: float = 0.0
 
 
 def best_split(
@@ -96,7 +106,7 @@ def best_split(
         f, b = divmod(place, gain.shape[1])
         if gain[f, b] > 1e-9 and (best is None or gain[f, b] > best.gain + 1e-12):
             left = (float(gl[f, b]), float(hl[f, b]))
-            best = Split(float(gain[f, b]), f, b + start, missing_left, left, (g - left[0], h - left[1]))
+            best = Split(float(gain[f, b]), f, b + start, missing_left, left, (g - left[0], h - left[1]), float(nl[f, b]))
     return best
 
 
@@ -119,8 +129,9 @@ class BoostedCounts:
 
     def raw(self, bins: np.ndarray, trees: list[Tree], start: np.ndarray | float) -> np.ndarray:
         out = np.zeros(len(bins)) + start
+        columns = np.ascontiguousarray(bins.T)
         for tree in trees:
-            out += np.array(tree.value)[tree.nodes(bins)]
+            out += np.array(tree.value)[tree.nodes(columns)]
         return np.clip(out, *self.limits)
 
     def predict(self, df: DataFrame, name: str = "y_pred") -> DataFrame:
@@ -203,7 +214,8 @@ class _Data:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 bins = model.bins([_numbers(b.column(i)) for i in range(n)])
-                yield _batch(bins, b.column(n), b.column(n + 1), b.column(n + 2), np.full(len(bins), model.initial))
+                rest = [b.column(n + i).to_numpy(zero_copy_only=False) for i in range(3)]
+                yield from _batches(bins, *rest, np.full(len(bins), model.initial))
 
         self.rows = self._write(rows.mapInArrow(run, ROWS_DDL).coalesce(parts))  # few rows: few tasks
 
@@ -217,46 +229,50 @@ class _Data:
         model = self.model
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                bins, raw = _bins(b, model), b.column(4).to_numpy(zero_copy_only=False)
-                yield _batch(bins, b.column(1), b.column(2), b.column(3), model.raw(bins, trees, raw))
+            for bins, label, held, rid, raw in _blocks(batches, model):
+                yield from _batches(bins, label, held, rid, model.raw(bins, trees, raw))
 
         self.rows = self._write(self.rows.mapInArrow(run, ROWS_DDL))
 
-    def sums(self, trees: list[Tree], tree: Tree, open_nodes: list[int], scale: float, keep: int, salt: int) -> tuple[np.ndarray, float, float]:
-        """(3 x open nodes x features x bins sums, held-out deviance, held-out rows)."""
-        model, width = self.model, len(self.model.features) * 256
+    def sums(
+        self, trees: list[Tree], tree: Tree, open_nodes: list[int], use: np.ndarray, scale: float, keep: int, salt: int
+    ) -> tuple[np.ndarray, float, float]:
+        """(3 x open nodes x features in use x bins sums, held-out deviance, held-out rows)."""
+        model, bins_each = self.model, 1 + max(1, *(len(x) for x in self.model.edges))
+        width = len(use) * bins_each
         place = {node: i for i, node in enumerate(open_nodes)}
         schema = pa.schema([("cell", pa.int64()), ("g", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = len(place) * width
-            total, loss = np.zeros((3, cells), dtype=np.int64), np.zeros(3, dtype=np.int64)
-            offset = np.arange(len(model.features)) * 256
+            total, loss = np.zeros((3, len(place), len(use), bins_each), dtype=np.int64), np.zeros(3, dtype=np.int64)
             number = np.full(len(tree.feature), -1)
             number[list(place)] = list(place.values())
-            for b in batches:
-                bins, label = _bins(b, model), b.column(1).to_numpy(zero_copy_only=False)
-                held = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                raw = model.raw(bins, trees, b.column(4).to_numpy(zero_copy_only=False))
-                mean = np.exp(raw)
-                if len(tree.feature) == 1:  # a new tree: how good were those before it
-                    loss[0] += int(np.rint(deviance(label[held], mean[held]) * scale).sum())
+            waiting: list[tuple] = []
+
+            def add() -> None:
+                if waiting:
+                    columns, slot, g, h = (np.concatenate(x, axis=-1) for x in zip(*waiting))
+                    total[...] += cell_sums(columns, slot, (g, h, None), len(place), bins_each)
+                    waiting.clear()
+
+            for bins, label, held, rid, start in _blocks(batches, model):
+                if len(tree.feature) == 1 and held.any():  # a new tree: how good were those before it
+                    mean = np.exp(model.raw(bins[held], trees, start[held]))
+                    loss[0] += int(np.rint(deviance(label[held], mean) * scale).sum())
                     loss[2] += int(held.sum())
-                own = ~held & (_draw(b.column(3).to_numpy(zero_copy_only=False), salt) < keep)
-                bins, label, mean = bins[own], label[own], mean[own]
-                slot = number[tree.nodes(bins)]
+                own = ~held & (_draw(rid, salt) < keep)
+                bins, label, start = bins[own], label[own], start[own]
+                slot = number[tree.nodes(np.ascontiguousarray(bins.T))]
                 inside = slot >= 0
-                bins, slot = bins[inside], slot[inside]
-                g = np.rint((mean - label)[inside] * scale)
-                h = np.rint(mean[inside] * scale)
-                for lo in range(0, len(bins), 1 << 15):
-                    at = (slot[lo : lo + (1 << 15), None] * width + offset + bins[lo : lo + (1 << 15)]).ravel()
-                    for i, w in enumerate((g, h, None)):
-                        weights = None if w is None else np.repeat(w[lo : lo + (1 << 15)], len(offset))
-                        total[i] += np.bincount(at, weights, cells).astype(np.int64)
-            used = np.flatnonzero(total[2])
-            yield _sum_batch(schema, used, *total[:, used])
+                bins, label = bins[inside], label[inside]
+                mean = np.exp(model.raw(bins, trees, start[inside]))
+                waiting.append((np.ascontiguousarray(bins[:, use].T), slot[inside], np.rint((mean - label) * scale), np.rint(mean * scale)))
+                if sum(len(x[1]) for x in waiting) >= TOGETHER:
+                    add()
+            add()
+            flat = total.reshape(3, -1)
+            used = np.flatnonzero(flat[2])
+            yield _sum_batch(schema, used, *flat[:, used])
             yield _sum_batch(schema, np.array([-1]), loss[:1], loss[1:2], loss[2:])
 
         found = self.rows.mapInArrow(run, "cell long, g long, h long, n long")
@@ -269,19 +285,46 @@ class _Data:
         for i, values in enumerate(columns):
             out[i, cell[inner]] = values[inner] / (1.0 if i == 2 else scale)
         rest = [float(c[~inner].sum()) for c in columns]
-        return out.reshape(3, len(open_nodes), len(model.features), 256), rest[0] / scale, rest[2]
-
-
-def _batch(bins: np.ndarray, label: pa.Array, held: pa.Array, rid: pa.Array, raw: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), label, held, rid, pa.array(raw)], schema=ROWS)
+        return out.reshape(3, len(open_nodes), len(use), bins_each), rest[0] / scale, rest[2]
+
+
+def cell_sums(columns: np.ndarray, slot: np.ndarray, weights: tuple, slots: int, bins: int) -> np.ndarray:
+    """weights x slots x features x bins sums of whole numbers. Two features are counted at a time, by
+    slot and both bins, and summed to one another's margins."""
+    out = np.zeros((len(weights), slots, len(columns), bins), dtype=np.int64)
+    base = slot.astype(np.int64) * bins
+    for f in range(0, len(columns), 2):
+        both = f + 1 < len(columns)
+        at = base + columns[f]
+        if both:
+            at *= bins
+            at += columns[f + 1]
+        shape = (slots, bins, bins) if both else (slots, bins, 1)
+        for i, w in enumerate(weights):
+            found = np.bincount(at, w, math.prod(shape)).reshape(shape)
+            out[i, :, f] = found.sum(axis=2)
+            if both:
+                out[i, :, f + 1] = found.sum(axis=1)
+    return out
+
+
+def _batches(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One block each: Spark hands over few large values instead of many small ones."""
+    for lo in range(0, len(columns[0]), BLOCK):
+        blocks = (np.ascontiguousarray(c[lo : lo + BLOCK], dtype=kind) for c, kind in zip(columns, KINDS.values()))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blocks], schema=ROWS)
 
 
 def _sum_batch(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], schema=schema)
 
 
-def _bins(b: pa.RecordBatch, model: BoostedCounts) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, len(model.features))
+def _blocks(batches: Iterator[pa.RecordBatch], model: BoostedCounts) -> Iterator[tuple[np.ndarray, ...]]:
+    """bins (rows x features), label, held, rid, raw of each block."""
+    for b in batches:
+        for row in zip(*b.columns):
+            bins, *rest = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, KINDS.values()))
+            yield bins.reshape(-1, len(model.features)), *rest
 
 
 def _draw(rid: np.ndarray, salt: int) -> np.ndarray:
@@ -338,26 +381,36 @@ def fit_boosted_counts(
             written = number
         allowed = np.zeros(len(features), dtype=bool)
         allowed[draw.permutation(len(features))[: max(1, round(feature_share * len(features)))]] = True
-        tree, gains, open_nodes = Tree(), [], [0]
+        tree, gains, open_nodes, use = Tree(), [], [0], np.flatnonzero(allowed)
+        # of two siblings, the one of fewer rows is summed, the other is what its parent has besides
+        asked, others = [0], {}
         for depth in range(max_depth):
-            found, loss, held = data.sums(model.trees[written:], tree, open_nodes, scale, round(1000 * row_share), seed * 1009 + number)
+            sums, loss, rows_held = data.sums(model.trees[written:], tree, asked, use, scale, round(1000 * row_share), seed * 1009 + number)
+            own = {node: sums[:, i] for i, node in enumerate(asked)}
+            own |= {node: parent - own[sibling] for node, (parent, sibling) in others.items()}
+            asked, others = [], {}
             if depth == 0:
+                held = rows_held
                 model.valid_deviance.append(loss / held if held else 0.0)
                 if model.valid_deviance[-1] < model.valid_deviance[best] - 1e-12:
                     best = number
-                g, h = found[0, 0, 0].sum(), found[1, 0, 0].sum()
+                g, h = own[0][0, 0].sum(), own[0][1, 0].sum()
                 tree.value[0] = -step * g / (h + l2)
             following = []
-            for i, node in enumerate(open_nodes):
-                split = best_split(found[0, i], found[1, i], found[2, i], allowed, l2, min_rows)
+            for node in open_nodes:
+                split = best_split(*own[node], np.ones(len(use), dtype=bool), l2, min_rows)
                 if split is None:
                     continue
+                split.feature = int(use[split.feature])
                 tree.feature[node], tree.threshold[node], tree.missing_left[node] = split.feature, split.threshold, split.missing_left
                 for side, (g, h) in (("left", split.left), ("right", split.right)):
                     child = tree.add()
                     getattr(tree, side)[node] = child
                     tree.value[child] = -step * g / (h + l2)
                     following.append(child)
+                fewer = following[-2:] if 2 * split.left_rows <= own[node][2, 0].sum() else following[:-3:-1]
+                asked.append(fewer[0])
+                others[fewer[1]] = own[node], fewer[0]
                 gains.append((split.feature, split.gain))
             open_nodes = following
             if not open_nodes:
@@ -370,7 +423,7 @@ def fit_boosted_counts(
         for f, gain in gains:
             model.gains[f] += gain
     else:
-        _, loss, held = data.sums(model.trees[written:], Tree(), [0], scale, 0, 0)
+        _, loss, held = data.sums(model.trees[written:], Tree(), [0], np.arange(1), scale, 0, 0)
         if held and loss / held < model.valid_deviance[best] - 1e-12:
             best = len(model.trees)
         model.valid_deviance.append(loss / held if held else 0.0)
