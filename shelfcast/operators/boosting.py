@@ -385,12 +385,11 @@ def fit_boosted_counts(
         # of two siblings, the one of fewer rows is summed, the other is what its parent has besides
         asked, others = [0], {}
         for depth in range(max_depth):
-            sums, loss, rows_held = data.sums(model.trees[written:], tree, asked, use, scale, round(1000 * row_share), seed * 1009 + number)
+            sums, loss, held = data.sums(model.trees[written:], tree, asked, use, scale, round(1000 * row_share), seed * 1009 + number)
             own = {node: sums[:, i] for i, node in enumerate(asked)}
             own |= {node: parent - own[sibling] for node, (parent, sibling) in others.items()}
             asked, others = [], {}
             if depth == 0:
-                held = rows_held
                 model.valid_deviance.append(loss / held if held else 0.0)
                 if model.valid_deviance[-1] < model.valid_deviance[best] - 1e-12:
                     best = number
