@@ -2,8 +2,8 @@
 
 An index row is one shard: at most `shard_rows` vectors (in the mean) in tree order, with a vantage
 point and the distances at which its two halves begin and end for each inner node. A query enters
-the half nearer to it first and skips a half if `relax` times the triangle bound of that half
-exceeds the distance of its k-th best so far. `relax` 1 skips nothing that could matter, so the
+the leaf with its least triangle bound first and skips others if `relax` times their bound exceeds
+the distance of its k-th best so far; queries of a block are compared with a leaf together. `relax` 1 skips nothing that could matter, so the
 result is exact; larger values prune more and may lose neighbours (`recall` measures it).
 
 Queries meet shards in blocks of bounded size and each shard answers with k rows a query at most.
@@ -31,6 +31,8 @@ from shelfcast.llm.common import saved
 SHARD_ROWS = 8192
 LEAF = 256
 QUERY_BLOCK = 1024
+#: Squares of differences held at once, at most.
+PAIR_NUMBERS = 1 << 21
 #: Slack for rounding of the triangle bound.
 SLACK = 1e-9
 
@@ -68,38 +70,69 @@ class Tree:
         self.nodes[at] = (lo, hi, point, (d[0], d[mid - 1], near), (d[mid], d[-1], rest))
         return at
 
-    def search(self, query: np.ndarray, own: int, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, ids) of the k nearest that the search finds, nearest first; one row of the
-        query's own id and vector stays out."""
-        best_d, best = np.empty(0), np.empty(0, dtype=np.int64)  # distances and places so far
-        waiting = [(0.0, 0)]
-        while waiting:
-            bound, at = waiting.pop()
-            if len(best_d) == k and relax * bound > best_d[-1] * (1 + SLACK):
-                continue
-            node = self.nodes[at]
-            if len(node) == 2:
-                lo, hi = node
-                d = distances(self.vectors[lo:hi].astype(np.float64), query)
-                mine = (self.ids[lo:hi] == own) & (self.copies[lo:hi] == 1) & (d == 0)
-                take = ~mine
-                if len(best_d) == k:
-                    take &= d <= best_d[-1]
-                d = np.concatenate([best_d, d[take]])
-                places = np.concatenate([best, lo + np.flatnonzero(take)])
-                order = np.lexsort((self.ids[places], d))[:k]
-                best_d, best = d[order], places[order]
-                continue
-            d = float(np.sqrt(((node[2] - query) ** 2).sum()))
-            halves = [(max(bound, low - d, d - high, 0.0), child) for low, high, child in node[3:]]
-            waiting.extend(sorted(halves, reverse=True))
-        # squares summed one after the other, as any plain loop does
-        squares = (self.vectors[best].astype(np.float64) - query) ** 2
-        best_d = np.sqrt(np.cumsum(squares, axis=1)[:, -1]) if len(best) else best_d
-        order = np.lexsort((self.ids[best], best_d))
-        best_d, best = best_d[order], best[order]
-        times = np.minimum(self.copies[best] - ((self.ids[best] == own) & (best_d == 0)), k)
-        return np.repeat(best_d, times)[:k], np.repeat(self.ids[best], times)[:k]
+    def bounds(self, queries: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """The leaves (lo, hi), and what each query's distance to their vectors is at least: queries x leaves."""
+        least = np.zeros((len(self.nodes), len(queries)))
+        for at, node in enumerate(self.nodes):  # children come after their parent
+            if len(node) > 2:
+                d = distances(queries, node[2])
+                for low, high, child in node[3:]:
+                    least[child] = np.maximum(least[at], np.maximum(low - d, d - high))
+        leaves = [at for at, node in enumerate(self.nodes) if len(node) == 2]
+        return [self.nodes[at] for at in leaves], least[leaves].T
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among the queries, distances, ids) of the k nearest that the search finds of each,
+        nearest first; one row of a query's own id and vector stays out. Each query enters the leaf of its
+        least bound first, then every leaf that its k-th best so far doesn't exclude."""
+        leaves, bounds = self.bounds(queries)
+        first = bounds.argmin(axis=1)
+        best_d, best = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1)  # distances and places so far
+
+        def enter(at: int, some: np.ndarray) -> None:
+            if len(some):
+                found = self._nearer(*leaves[at], queries[some], own[some], k, best_d[some, -1])
+                best_d[some], best[some] = self._first(best_d[some], best[some], *found)
+
+        for at in range(len(leaves)):
+            enter(at, np.flatnonzero(first == at))
+        for at in range(len(leaves)):
+            excluded = relax * bounds[:, at] > best_d[:, -1] * (1 + SLACK)
+            enter(at, np.flatnonzero((first != at) & ~excluded))
+        row, _ = found = np.nonzero(best >= 0)
+        d, place = best_d[found], best[found]
+        times = np.minimum(self.copies[place] - ((self.ids[place] == own[row]) & (d == 0)), k)
+        row, d, ids = (np.repeat(x, times) for x in (row, d, self.ids[place]))
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[kept], d[kept], ids[kept]
+
+    def _nearer(self, lo: int, hi: int, queries: np.ndarray, own: np.ndarray, k: int, reach: np.ndarray) -> tuple:
+        """(query, distance, place) of a leaf's entries that may be among the k nearest, given the k-th best
+        so far. A matrix product leaves out only what is farther by more than its rounding."""
+        points = self.vectors[lo:hi].astype(np.float64)
+        sizes, norms = (points**2).sum(axis=1), (queries**2).sum(axis=1)
+        near = sizes + norms[:, None] - 2 * (queries @ points.T)
+        limit = reach**2
+        if hi - lo > k:  # the query's own row may be one of k + 1
+            limit = np.minimum(limit, np.partition(near, k, axis=1)[:, k])
+        limit = limit + 16 * queries.shape[1] * np.finfo(np.float64).eps * (norms + sizes.max())
+        row, place = np.nonzero(~(near > limit[:, None]))
+        d, step = np.empty(len(row)), max(1, PAIR_NUMBERS // queries.shape[1])
+        for i in range(0, len(row), step):  # squares summed one after the other, as any plain loop does
+            squares = (points[place[i : i + step]] - queries[row[i : i + step]]) ** 2
+            d[i : i + step] = np.sqrt(np.cumsum(squares, axis=1)[:, -1])
+        place += lo
+        others = ~((self.ids[place] == own[row]) & (self.copies[place] == 1) & (d == 0))
+        return row[others], d[others], place[others]
+
+    def _first(self, best_d: np.ndarray, best: np.ndarray, row: np.ndarray, d: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first k of each query by (distance, id), of the best so far (queries x k) and of those found."""
+        n, k = best.shape
+        row = np.concatenate([np.repeat(np.arange(n), k), row])
+        d, place = np.concatenate([best_d.ravel(), d]), np.concatenate([best.ravel(), place])
+        order = np.lexsort((self.ids[place], place < 0, d, row))
+        top = order[np.searchsorted(row[order], np.arange(n))[:, None] + np.arange(k)]
+        return d[top], place[top]
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -120,9 +153,10 @@ def build_index(rows: DataFrame, key: str, vector: str, shard_rows: int = SHARD_
     dealt = dealt.withColumn("dim", F.size("v"))
 
     def tree(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(at=group["v"].map(tuple)).sort_values(["id", "at"])
         vectors = np.stack(group["v"].to_list())
-        made = Tree(group["id"].to_numpy(np.int64), vectors, copies=group["copies"].to_numpy(np.int64))
+        order = np.lexsort((*vectors.T[::-1], group["id"]))
+        ids, copies = (group[c].to_numpy(np.int64)[order] for c in ("id", "copies"))
+        made = Tree(ids, vectors[order], copies=copies)
         return pd.DataFrame([(keys[0], keys[1], pickle.dumps(made, protocol=5))], columns=["shard", "dim", "tree"])
 
     return saved(
@@ -154,12 +188,11 @@ def search(
     def answer(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for tree, rows in zip(group["tree"], group["rows"]):
-            tree = pickle.loads(tree)
-            for r in rows:
-                query = np.array(r["v"], dtype=np.float64)
-                d, ids = tree.search(query, r["id"], k, relax)
-                row = {"query_id": r["id"], "mark": r["mark"], "copies": r["copies"], "vec_id": ids, "score": d}
-                out.append(pd.DataFrame(row))
+            own, mark, copies = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("id", "mark", "copies"))
+            asked = np.array([r["v"] for r in rows], dtype=np.float64)
+            at, d, ids = pickle.loads(tree).search(asked, own, k, relax)
+            row = {"query_id": own[at], "mark": mark[at], "copies": copies[at], "vec_id": ids, "score": d}
+            out.append(pd.DataFrame(row))
         return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "mark", "copies", "vec_id", "score"])
 
     ddl = "query_id long, mark long, copies long, vec_id long, score double"
